@@ -33,7 +33,11 @@ def with_views(sql: str) -> str:
     _used(sql, names)
     if not names:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names) + "\n" + sql
+    views = "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    head, own = sql.strip(), ""
+    if head.upper().startswith("WITH "):
+        own, head = ", " + head[5:], ""
+    return views + own + "\n" + head
 
 
 def query(name: str, sql: str | None = None) -> Callable:

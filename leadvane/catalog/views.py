@@ -119,11 +119,160 @@ SELECT *, created_at + INTERVAL 120 DAY AS matured_at, created_at + INTERVAL 120
 FROM cleaned""")
 view("labelled", """
 SELECT *,
-  CASE WHEN coalesce(won_at <= matured_at, false) THEN 1.0 WHEN mature THEN 0.0 END AS won_within_h,
+  CASE WHEN coalesce(won_at <= matured_at, false) THEN 1.0::DOUBLE WHEN mature THEN 0.0 END AS won_within_h,
   CASE WHEN final_stage = 'Won' THEN 'won' WHEN final_stage = 'Lost' THEN 'crm_lost'
     WHEN mature AND ghosted_at_h THEN 'ghosted' WHEN stalled THEN 'stalled' ELSE 'open' END AS label_source,
-  CASE WHEN final_stage = 'Won' THEN 1.0 WHEN final_stage = 'Lost' OR stalled OR (final_stage = 'New' AND old)
+  CASE WHEN final_stage = 'Won' THEN 1.0::DOUBLE WHEN final_stage = 'Lost' OR stalled OR (final_stage = 'New' AND old)
     THEN 0.0 END AS y_legacy,
-  CASE WHEN coalesce(won_at <= matured_at, false) THEN 1.0 WHEN mature AND NOT ghosted_at_h AND NOT stalled THEN 0.0
+  CASE WHEN coalesce(won_at <= matured_at, false) THEN 1.0::DOUBLE WHEN mature AND NOT ghosted_at_h AND NOT stalled THEN 0.0
     END AS y
 FROM lead_states""")
+
+# ---- enrichment and features ----
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def sql_normalised_name(expr: str) -> str:
+    words = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({expr}), '[.''’]', '', 'g'), '[^\p{{L}}\p{{N}}_]+|_', ' ', 'g'), '\s+', ' ', 'g'))"
+    legal = "ltd|limited|inc|llc|gmbh|bv|sa|plc|co|sas|incorporated|corporation|corp|company"
+    return rf"nullif(regexp_replace({words}, '(^|\s)(({legal})(\s|$))+$', ''), '')"
+
+
+view("company_names", f"""
+SELECT name_key, any_value(sector) AS n_sector, any_value(employee_band) AS n_band, any_value(monthly_ad_spend_band) AS n_spend,
+  any_value(crm_platform) AS n_crm, bool_or(is_hiring) AS n_hiring
+FROM (SELECT {sql_normalised_name('company_name')} AS name_key, * FROM companies) WHERE name_key IS NOT NULL
+GROUP BY name_key HAVING count(*) = 1""")
+view("enriched", f"""
+SELECT e.*, CASE WHEN by_domain THEN 'domain' WHEN n1.name_key IS NOT NULL OR n2.name_key IS NOT NULL THEN 'name' END
+    AS enrichment_source,
+  CASE WHEN by_domain THEN co_sector WHEN n1.name_key IS NOT NULL THEN n1.n_sector ELSE n2.n_sector END AS en_sector,
+  CASE WHEN by_domain THEN co_band WHEN n1.name_key IS NOT NULL THEN n1.n_band ELSE n2.n_band END AS en_band,
+  CASE WHEN by_domain THEN co_spend WHEN n1.name_key IS NOT NULL THEN n1.n_spend ELSE n2.n_spend END AS en_spend,
+  CASE WHEN by_domain THEN co_crm WHEN n1.name_key IS NOT NULL THEN n1.n_crm ELSE n2.n_crm END AS en_crm,
+  CASE WHEN by_domain THEN co_hiring WHEN n1.name_key IS NOT NULL THEN n1.n_hiring ELSE n2.n_hiring END AS en_hiring
+FROM (SELECT l.*, lower(trim(company_domain)) AS dom, c.sector AS co_sector, c.employee_band AS co_band,
+    c.monthly_ad_spend_band AS co_spend, c.crm_platform AS co_crm, c.is_hiring AS co_hiring,
+    c.employee_band IS NOT NULL AS by_domain,
+    {sql_normalised_name('l.company_name')} AS key1, {sql_normalised_name('a_company')} AS key2
+  FROM labelled l LEFT JOIN companies c ON lower(c.domain) = lower(trim(company_domain))) e
+LEFT JOIN company_names n1 ON NOT by_domain AND n1.name_key = key1
+LEFT JOIN company_names n2 ON NOT by_domain AND n1.name_key IS NULL AND n2.name_key = key2""")
+view("snippets", "SELECT unnest([" + ", ".join("'" + s.replace("'", "''") + "'" for s in BOILERPLATE_SNIPPETS)
+     + "]) AS snippet")
+
+
+def sql_tokens(expr: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({expr}), '[a-z0-9]+'))"
+
+
+view("text_similarity", f"""
+SELECT a_what_to_solve, max(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))) AS sim
+FROM (SELECT DISTINCT a_what_to_solve, {sql_tokens('a_what_to_solve')} AS a FROM leads WHERE a_what_to_solve IS NOT NULL) t
+CROSS JOIN (SELECT {sql_tokens('snippet')} AS b FROM snippets) s GROUP BY a_what_to_solve""")
+
+
+def sql_text_rest(s: str) -> str:
+    return rf"""CASE WHEN {s} IN ('','?','n/a','hi','test','info','interested','tell me more','more info pls','pricing')
+      THEN 'vague' WHEN regexp_matches({s}, '£\s?\d|\d+\s*(seats|users|sdrs|marketers)|team of \d|budget|within \d+ weeks|by (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|before (q\d|end|the new)|contract ends')
+      THEN 'specific' ELSE 'neutral' END"""
+
+
+def sql_text_class(expr: str) -> str:
+    s = f"coalesce(lower(trim({expr}, E' \\t\\n\\r\\f\\v')), '')"
+    return f"""CASE WHEN starts_with({s}, 'lorem ipsum') OR starts_with({s}, 'we are a leading provider')
+      OR starts_with({s}, 'our mission is to empower') THEN 'copy_paste' ELSE {sql_text_rest(s)} END"""
+
+
+def sql_seniority(expr: str) -> str:
+    return f"""CASE WHEN coalesce(trim({expr}), '') = '' THEN 'not_asked/blank'
+      WHEN regexp_matches(lower({expr}), 'student|intern') THEN 'student'
+      WHEN regexp_matches(lower({expr}), 'ceo|founder|chief|vp|director|head|owner|partner|president|cmo|cto|cfo') THEN 'senior'
+      WHEN regexp_matches(lower({expr}), 'manager|lead') THEN 'mid' ELSE 'junior/ic' END"""
+
+
+SQL_CHANNEL = """CASE WHEN utm_medium = 'lead_form' THEN 'meta_leadads' WHEN utm_source IN ('facebook','instagram') THEN 'meta'
+  WHEN utm_source IN ('google','linkedin','chatgpt') THEN utm_source ELSE 'organic_direct' END"""
+SQL_EMAIL = """CASE WHEN coalesce(split_part(email_l, '@', 2) IN ('gmail.example','yahoo.example','hotmail.example',
+  'outlook.example','icloud.example'), false) THEN 'free' ELSE 'business' END"""
+SQL_TERM = f"""CASE WHEN {SQL_CHANNEL} <> 'google' THEN 'not_google'
+  WHEN contains(lower(coalesce(utm_term, '')), 'northstar') THEN 'brand' ELSE 'generic' END"""
+_HOURS = "submitted_weekday NOT IN ('Saturday','Sunday') AND local_submit_hour BETWEEN 9 AND 17"
+_TIME = """CASE WHEN time_on_page_s < 60 THEN '15-60s' WHEN time_on_page_s < 300 THEN '60-300s'
+  WHEN time_on_page_s < 600 THEN '300-600s' WHEN time_on_page_s >= 600 THEN '>600s' ELSE '15-60s' END"""
+_SHARED = f"""{SQL_EMAIL} AS f_email, {sql_seniority('a_job_title')} AS f_seniority,
+  coalesce(a_budget, 'not_asked') AS f_c_budget, coalesce(a_timeline, 'not_asked') AS f_c_timeline,
+  CASE WHEN field_edit_count BETWEEN 1 AND 4 THEN 'yes' ELSE 'no' END AS f_edits_1_4, {SQL_CHANNEL} AS f_channel,
+  {SQL_TERM} AS f_search_term"""
+view("features_legacy", f"""
+SELECT lead_id, created_at, y, y_legacy, form_variant AS f_form_variant, {_SHARED},
+  CASE WHEN co_band IS NULL THEN 'yes' ELSE 'no' END AS f_no_company,
+  coalesce(co_band, nullif(a_company_size, ''), '1-10') AS f_band, {sql_text_class('a_what_to_solve')} AS f_text,
+  coalesce(co_spend, 'under £5k') AS f_spend,
+  CASE WHEN co_crm IN ('HubSpot','Salesforce') THEN 'hubspot_sf' ELSE 'other' END AS f_crm,
+  CASE WHEN co_hiring THEN 'hiring' ELSE 'not_hiring' END AS f_hiring, {_TIME} AS f_time_on_page,
+  CASE WHEN hesitation_ms > 90000 THEN 'yes' ELSE 'no' END AS f_hesitation_90s,
+  CASE WHEN sessions_before_convert >= 3 THEN 'yes' ELSE 'no' END AS f_sessions_3plus,
+  CASE WHEN viewed_pricing THEN 'yes' ELSE 'no' END AS f_viewed_pricing,
+  CASE WHEN {_HOURS} AND utm_medium <> 'lead_form' THEN 'wkday_9-18' ELSE 'outside' END AS f_business_hours,
+  CASE WHEN ip_country IS NOT NULL AND NOT coalesce(ip_country = a_country, false) THEN 'mismatch' ELSE 'match' END AS f_ip_country,
+  CASE WHEN is_datacenter_ip THEN 'dc' ELSE 'residential' END AS f_ip_type, coalesce(co_sector, 'none') AS f_sector
+FROM enriched""")
+_NOSESSION = """(landing_url IS NULL OR time_on_page_s IS NULL OR hesitation_ms IS NULL OR sessions_before_convert IS NULL
+  OR viewed_pricing IS NULL OR ip_country IS NULL OR is_datacenter_ip IS NULL OR submitted_weekday IS NULL
+  OR local_submit_hour IS NULL)"""
+_S2 = "coalesce(lower(trim(x.a_what_to_solve)), '')"
+view("features_v2", f"""
+SELECT lead_id, created_at, y, y_legacy, won_at, deal_value, label_source, mature, won_within_h, final_stage, ghosted_at_h,
+  enrichment_source, co_band, x.a_job_title, a_company_size, pages_visited, a_country, form_variant, utm_medium, utm_source, utm_campaign,
+  form_variant AS f_form_variant, {_SHARED},
+  CASE WHEN {_NOSESSION} THEN 'yes' ELSE 'no' END AS f_session_missing,
+  CASE WHEN enrichment_source IS NULL THEN 'yes' ELSE 'no' END AS f_enrichment_missing,
+  coalesce(en_band, nullif(a_company_size, ''), 'missing') AS f_band,
+  CASE WHEN coalesce(sim, 0) >= 0.6 THEN 'copy_paste' ELSE {sql_text_rest(_S2)} END AS f_text,
+  CASE WHEN enrichment_source IS NULL THEN 'under £5k' ELSE en_spend END AS f_spend,
+  CASE WHEN enrichment_source IS NOT NULL AND en_crm IN ('HubSpot','Salesforce') THEN 'hubspot_sf' ELSE 'other' END AS f_crm,
+  CASE WHEN enrichment_source IS NOT NULL AND en_hiring THEN 'hiring' ELSE 'not_hiring' END AS f_hiring,
+  CASE WHEN {_NOSESSION} THEN '15-60s' ELSE {_TIME} END AS f_time_on_page,
+  CASE WHEN NOT {_NOSESSION} AND hesitation_ms > 90000 THEN 'yes' ELSE 'no' END AS f_hesitation_90s,
+  CASE WHEN NOT {_NOSESSION} AND sessions_before_convert >= 3 THEN 'yes' ELSE 'no' END AS f_sessions_3plus,
+  CASE WHEN NOT {_NOSESSION} AND viewed_pricing THEN 'yes' ELSE 'no' END AS f_viewed_pricing,
+  CASE WHEN NOT {_NOSESSION} AND {_HOURS} THEN 'wkday_9-18' ELSE 'outside' END AS f_business_hours,
+  CASE WHEN NOT {_NOSESSION} AND ip_country IS NOT NULL AND a_country IS NOT NULL AND ip_country <> a_country
+    THEN 'mismatch' ELSE 'match' END AS f_ip_country,
+  CASE WHEN NOT {_NOSESSION} AND is_datacenter_ip THEN 'dc' ELSE 'residential' END AS f_ip_type,
+  coalesce(en_sector, 'missing') AS f_sector
+FROM enriched x LEFT JOIN text_similarity s ON x.a_what_to_solve = s.a_what_to_solve""")
+
+# ---- fixed demonstration weights (a frozen model, so that SQL can score too) ----
+WEIGHTS = {
+    "(intercept)": -1.1, "channel=linkedin": 0.8, "channel=meta": -0.2, "form_variant=C": 0.3, "band=51-200": 0.4,
+    "band=201-1000": 1.3, "band=1000+": 1.0, "email=free": -0.6, "text=specific": 0.9, "text=vague": -0.5,
+    "seniority=senior": 0.7, "seniority=student": -1.2, "spend=£100k+": 0.35, "time_on_page=60-300s": 0.4,
+    "time_on_page=>600s": -0.4, "sessions_3plus=yes": 0.6, "viewed_pricing=yes": 0.5, "search_term=brand": 0.25,
+}
+VALUE_WEIGHTS = {
+    "(intercept)": 11.0, "band=11-50": 0.2, "band=51-200": 0.5, "band=201-1000": 0.9, "band=1000+": 1.2,
+    "sector=Software": 0.3, "sector=Manufacturing": 0.15, "channel=linkedin": 0.2, "spend=£100k+": 0.4,
+}
+VALUE_CORRECTION = 1.08
+MARGIN = 0.3
+
+
+def sql_linear(weights: dict[str, float]) -> str:
+    terms = [str(weights["(intercept)"])]
+    for col, w in weights.items():
+        if col != "(intercept)":
+            f, lvl = col.split("=", 1)
+            terms.append(f"CASE WHEN f_{f} = '{lvl}' THEN {w}::DOUBLE ELSE 0 END")
+    return "(" + " + ".join(terms) + ")"
+
+
+view("scored", f"""
+SELECT *, 1 / (1 + exp(-z)) AS p, exp(log_value) * {VALUE_CORRECTION} AS deal_value_hat,
+  1 / (1 + exp(-z)) * exp(log_value) * {VALUE_CORRECTION} * {MARGIN} AS value,
+  CASE WHEN y = 1 THEN coalesce(deal_value, 0) ELSE 0 END AS revenue,
+  y IS NOT NULL AND mature AND created_at < {T_TEST_FROM} AS is_train,
+  y IS NOT NULL AND mature AND created_at >= {T_TEST_FROM} AS is_test
+FROM (SELECT *, {sql_linear(WEIGHTS)}::DOUBLE AS z, {sql_linear(VALUE_WEIGHTS)}::DOUBLE AS log_value FROM features_v2)""")
+view("test_rows", "SELECT * FROM scored WHERE is_test")
