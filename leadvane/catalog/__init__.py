@@ -1,5 +1,5 @@
 """All registered queries: importing the theme modules fills the registry."""
-from leadvane.catalog import features, outcomes  # noqa: F401
+from leadvane.catalog import features, metrics, outcomes  # noqa: F401
 from leadvane.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

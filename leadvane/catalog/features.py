@@ -30,7 +30,23 @@ def v2(t: Tables) -> DataFrame:
     return features.v2_features(enriched(t))
 
 
+_SCORED: dict[tuple[str, str], DataFrame] = {}
+SCORED_COLUMNS = ("lead_id", "created_at", "form_variant", "utm_medium", "utm_source", "utm_campaign", "a_country",
+                  "a_job_title", "a_company_size", "pages_visited", "final_stage", "last_change", "deal_value", "won_at",
+                  "first_contact_at", "label_source", "won_within_h", "enrichment_source", "y", "sector")
+
+
 def scored(t: Tables) -> DataFrame:
+    """The featurised, scored leads every evaluation query reads: built once per session and kept."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _SCORED:
+        cols = [*SCORED_COLUMNS, *[c for c in V2_ALL if c not in SCORED_COLUMNS], "is_train", "is_test", "p", "log_value",
+                "revenue", "deal_value_hat", "value"]
+        _SCORED[key] = score(t).select(*cols).persist()
+    return _SCORED[key]
+
+
+def score(t: Tables) -> DataFrame:
     """Cleaned, labelled, featurised leads with a frozen linear model's probability, value and the split."""
     df = labels.with_split(v2(t), HORIZON, ORDERS_DATES)
     z = scores.linear_score(WEIGHTS)

@@ -246,14 +246,15 @@ FROM enriched x LEFT JOIN text_similarity s ON x.a_what_to_solve = s.a_what_to_s
 
 # ---- fixed demonstration weights (a frozen model, so that SQL can score too) ----
 WEIGHTS = {
-    "(intercept)": -1.1, "channel=linkedin": 0.8, "channel=meta": -0.2, "form_variant=C": 0.3, "band=51-200": 0.4,
-    "band=201-1000": 1.3, "band=1000+": 1.0, "email=free": -0.6, "text=specific": 0.9, "text=vague": -0.5,
-    "seniority=senior": 0.7, "seniority=student": -1.2, "spend=£100k+": 0.35, "time_on_page=60-300s": 0.4,
-    "time_on_page=>600s": -0.4, "sessions_3plus=yes": 0.6, "viewed_pricing=yes": 0.5, "search_term=brand": 0.25,
+    "(intercept)": -1.1037, "channel=linkedin": 0.8123, "channel=meta": -0.2071, "form_variant=C": 0.3019,
+    "band=51-200": 0.4187, "band=201-1000": 1.3291, "band=1000+": 1.0433, "email=free": -0.6157,
+    "text=specific": 0.9311, "text=vague": -0.5239, "seniority=senior": 0.7283, "seniority=student": -1.2473,
+    "spend=£100k+": 0.3541, "time_on_page=60-300s": 0.4429, "time_on_page=>600s": -0.4691,
+    "sessions_3plus=yes": 0.6373, "viewed_pricing=yes": 0.5507, "search_term=brand": 0.2579,
 }
 VALUE_WEIGHTS = {
-    "(intercept)": 11.0, "band=11-50": 0.2, "band=51-200": 0.5, "band=201-1000": 0.9, "band=1000+": 1.2,
-    "sector=Software": 0.3, "sector=Manufacturing": 0.15, "channel=linkedin": 0.2, "spend=£100k+": 0.4,
+    "(intercept)": 11.0, "band=11-50": 0.2053, "band=51-200": 0.5147, "band=201-1000": 0.9229, "band=1000+": 1.2317,
+    "sector=Software": 0.3371, "sector=Manufacturing": 0.1543, "channel=linkedin": 0.2191, "spend=£100k+": 0.4283,
 }
 VALUE_CORRECTION = 1.08
 MARGIN = 0.3
@@ -270,7 +271,7 @@ def sql_linear(weights: dict[str, float]) -> str:
 
 view("scored", f"""
 SELECT *, 1 / (1 + exp(-z)) AS p, exp(log_value) * {VALUE_CORRECTION} AS deal_value_hat,
-  1 / (1 + exp(-z)) * exp(log_value) * {VALUE_CORRECTION} * {MARGIN} AS value,
+  1 / (1 + exp(-z)) * (exp(log_value) * {VALUE_CORRECTION}) * {MARGIN} AS value,
   CASE WHEN y = 1 THEN coalesce(deal_value, 0) ELSE 0 END AS revenue,
   y IS NOT NULL AND mature AND created_at < {T_TEST_FROM} AS is_train,
   y IS NOT NULL AND mature AND created_at >= {T_TEST_FROM} AS is_test

@@ -1,6 +1,9 @@
 """String functions as native column expressions."""
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,9 +76,12 @@ def best_similarity(text: Column, snippets: tuple[str, ...] = BOILERPLATE_SNIPPE
 
 
 def is_boilerplate(text: Column, threshold: float = BOILERPLATE_SIMILARITY) -> Column:
+    """Similar to a fixed snippet; token counts that cannot reach the threshold skip the comparison."""
     if not 0 < threshold <= 1:
         raise ValueError(f"threshold must be in (0, 1], got {threshold}")
-    return best_similarity(text) >= threshold
+    sizes = [len(set(re.findall("[a-z0-9]+", s.lower()))) for s in BOILERPLATE_SNIPPETS]
+    possible = F.size(tokens(text)).between(math.ceil(min(sizes) * threshold), math.floor(max(sizes) / threshold))
+    return F.when(possible, best_similarity(text) >= threshold).otherwise(False)
 
 
 def _normal(text: Column) -> Column:

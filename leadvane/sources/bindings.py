@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leadvane.config import BOILERPLATE_SNIPPETS, RunDates
 
@@ -89,6 +90,12 @@ _COMPANY = {
 }
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+_SPLITS: dict[str, int] = {}
+_ROW_KEYS = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"], "events": ["event_id"],
+             "documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 class Tables:
     """The parquet tables of one scale-factor folder and their lead-schema views."""
 
@@ -96,17 +103,29 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """One raw table, zone-less timestamps read as UTC instants."""
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return df.select([F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c)
-                          for c, t in df.dtypes])
+        """One raw table, zone-less timestamps read as UTC instants. Its schema is looked up once per process."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        df = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        df = df.select([F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c)
+                        for c, t in df.dtypes])
+        return self._spread(df, path, name) if name in _ROW_KEYS else df
+
+    def _spread(self, df: DataFrame, path: str, name: str) -> DataFrame:
+        """A table stored in fewer splits than there are cores is hashed by key over them; larger ones stay as read."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if path not in _SPLITS:
+            _SPLITS[path] = df.rdd.getNumPartitions()
+        return df if _SPLITS[path] >= cores else df.repartition(cores, *_ROW_KEYS[name])
 
     def _orders(self) -> DataFrame:
         orders = self.table("orders").withColumns({"k": F.col("o_orderkey"), "c": F.col("o_custkey")})
         customer = self.table("customer").select("c_custkey", "c_name", "c_nationkey")
         nation = self.table("nation").select("n_nationkey", "n_name")
-        people = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        return (orders.join(people, F.col("c") == F.col("c_custkey"))
+        # Left joins on foreign keys: only the dimension side may be broadcast, the orders stay spread.
+        people = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        return (orders.join(people, F.col("c") == F.col("c_custkey"), "left")
                 .withColumn("shown_name", F.expr(_SHOWN_NAME)))
 
     def leads(self) -> DataFrame:
