@@ -49,7 +49,7 @@ def scored(t: Tables) -> DataFrame:
 def score(t: Tables) -> DataFrame:
     """Cleaned, labelled, featurised leads with a frozen linear model's probability, value and the split."""
     df = labels.with_split(v2(t), HORIZON, ORDERS_DATES)
-    z = scores.linear_score(WEIGHTS)
+    z = F.round(scores.linear_score(WEIGHTS), 9)  # equal sums tie in every engine
     df = df.withColumns({"p": scores.sigmoid(z), "log_value": scores.linear_score(VALUE_WEIGHTS),
                          "revenue": F.when(F.col("y") == 1, F.coalesce("deal_value", F.lit(0.0))).otherwise(0.0)})
     df = df.withColumn("deal_value_hat", F.exp("log_value") * VALUE_CORRECTION)

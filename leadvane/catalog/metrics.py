@@ -302,8 +302,7 @@ SELECT lead_id, round(greatest(25, anchor * log2(1 + least(value, cap) / anchor)
 def upload_values(t: Tables) -> DataFrame:
     df = scored(t).select("lead_id", "value", "is_train")
     train = df.where("is_train")
-    log = value.fit_transform(train, "value", value.ValueTransform())
-    root = value.fit_transform(train, "value", value.ValueTransform(floor=None, compression="sqrt"))
+    log, root = value.fit_transforms(train, "value", [value.ValueTransform(), value.ValueTransform(floor=None, compression="sqrt")])
     return df.select("lead_id", F.round(log.apply(F.col("value")), 4).alias("upload_log"),
                      F.round(root.apply(F.col("value")), 4).alias("upload_sqrt"))
 
@@ -355,7 +354,7 @@ def transform_comparison(t: Tables) -> DataFrame:
 
 def compare_transforms(train: DataFrame, test: DataFrame, specs) -> DataFrame:
     """Scale, capture, ties and retention of every transform fitted on the training rows, in one pass of the test rows."""
-    fitted = [value.fit_transform(train, "value", s) for s in specs]
+    fitted = value.fit_transforms(train, "value", specs)
     cells = F.array(*[F.struct(F.lit(f.spec.name).alias("transform"), f.apply(F.col("value")).alias("v")) for f in fitted])
     long = test.select("revenue", F.explode(cells).alias("c")).select("revenue", "c.*")
     scale = metrics.value_scale(long, "v", ["transform"])

@@ -275,5 +275,5 @@ SELECT *, 1 / (1 + exp(-z)) AS p, exp(log_value) * {VALUE_CORRECTION} AS deal_va
   CASE WHEN y = 1 THEN coalesce(deal_value, 0) ELSE 0 END AS revenue,
   y IS NOT NULL AND mature AND created_at < {T_TEST_FROM} AS is_train,
   y IS NOT NULL AND mature AND created_at >= {T_TEST_FROM} AS is_test
-FROM (SELECT *, {sql_linear(WEIGHTS)}::DOUBLE AS z, {sql_linear(VALUE_WEIGHTS)}::DOUBLE AS log_value FROM features_v2)""")
+FROM (SELECT *, round({sql_linear(WEIGHTS)}::DOUBLE, 9) AS z, {sql_linear(VALUE_WEIGHTS)}::DOUBLE AS log_value FROM features_v2)""")
 view("test_rows", "SELECT * FROM scored WHERE is_test")
