@@ -47,6 +47,11 @@ def query(name: str, sql: str | None = None) -> Callable:
             raise ValueError(f"query {name!r} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(configure(spark), sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return fn
     return wrap
+
+
+def oracles() -> dict[str, str]:
+    """Reference SQL of every query that has one, complete with the views it uses."""
+    return {name: with_views(sql) for name, sql in ORACLES.items()}

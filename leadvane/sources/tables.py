@@ -117,8 +117,8 @@ def write_table(df: DataFrame, path: str, columns: Sequence[str] | None = None)
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV part files with a header and ISO UTC timestamps, blanks as empty cells."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").csv(path)
 
 
 # Output columns of a scoring run; horizon labels add three more.
