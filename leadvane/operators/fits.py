@@ -98,6 +98,13 @@ def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.nd
     return beta
 
 
+def fit_one(wide: DataFrame, columns: Sequence[str], y: str = "y", c: float = LR_C) -> dict[str, float]:
+    """One unweighted fit as weights by column; the same optimum as Spark ML's in far fewer passes."""
+    rows = wide.select(y, design_array(columns), F.array(F.lit(1.0)).alias("w"))
+    beta = fit_many(rows, 1, column_weights(), y, c)[0]
+    return dict(zip(["(intercept)", *columns], map(float, beta)))
+
+
 def coefficient_frame(spark, beta: np.ndarray, columns: Sequence[str]) -> DataFrame:
     """Rows ``(fit, column, coefficient)``, the intercept included."""
     names = ["(intercept)", *columns]

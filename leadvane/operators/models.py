@@ -21,7 +21,7 @@ def fit_logistic(train: DataFrame, columns: Sequence[str], c: float = LR_C, weig
     data = with_vector(train.select(label, *([weight] if weight else []), *[F.col(f"`{x}`") for x in columns]), columns)
     n = data.agg(F.sum(weight) if weight else F.count("*")).first()[0]
     lr = LogisticRegression(featuresCol="design", labelCol=label, regParam=1.0 / (c * n) if math.isfinite(c) else 0.0,
-                            elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-9)
+                            elasticNetParam=0.0, standardization=False, maxIter=300, tol=1e-8)
     model = (lr.setWeightCol(weight) if weight else lr).fit(data)
     return {INTERCEPT: float(model.intercept), **dict(zip(columns, map(float, model.coefficients)))}
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadvane.config import LEVELS, V2_REFERENCES, VALUE_LEVELS, LabelSpec, RunDates, design_columns
 from leadvane.functions.scores import linear_score, sigmoid
-from leadvane.operators import cleaning, crm, design, enrichment, extras, features, labels, models, value
+from leadvane.operators import cleaning, crm, design, enrichment, extras, features, fits, labels, models, value
 from leadvane.schemas import LEADS
 
 VALUE_COLUMNS = design_columns(dict.fromkeys(VALUE_LEVELS), VALUE_LEVELS)
@@ -38,7 +38,8 @@ def train(rows: DataFrame, margin: float = 1.0, transform: value.ValueTransform
     refs, levels = {**V2_REFERENCES, **extras.references(encoder)}, {**LEVELS, **extras.levels(encoder)}
     columns = design_columns(refs, levels)
     train_rows = rows.where("is_train")
-    win = models.fit_logistic(design.wide_design(train_rows, refs, levels, keep=["y"]), columns)
+    wide = design.wide_design(train_rows, refs, levels, keep=["y"])
+    win = fits.fit_one(wide, columns)  # a handful of passes over the training rows
     won = train_rows.where("y = 1 and deal_value is not null")
     deal = models.fit_deal_value(design.wide_design(won, dict.fromkeys(VALUE_LEVELS), VALUE_LEVELS, keep=["deal_value"]), VALUE_COLUMNS)
     scored = with_scores(train_rows, win, deal, margin)
