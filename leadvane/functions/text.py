@@ -135,10 +135,10 @@ def word_count(text: Column) -> Column:
 
 
 def _ipv6_pattern() -> str:
-    """Full and ``::``-shortened IPv6 forms, so that no Python check per row is needed."""
-    forms = [rf"(?:{_HEX}:){{7}}{_HEX}", rf"(?:{_HEX}:){{1,7}}:"]
+    """Full and ``::``-shortened IPv6 forms of at most seven colons, so that no Python check per row is needed."""
+    forms = [rf"(?:{_HEX}:){{7}}{_HEX}", rf"(?:{_HEX}:){{1,6}}:"]
     forms += [rf"(?:{_HEX}:){{1,{7 - n}}}(?::{_HEX}){{1,{n}}}" for n in range(1, 7)]
-    forms += [rf":(?:(?::{_HEX}){{1,7}}|:)"]
+    forms += [rf":(?:(?::{_HEX}){{1,6}}|:)"]
     return rf"(?<![0-9A-Za-z:])(?:{'|'.join(forms)})(?![0-9A-Za-z:])"
 
 

@@ -81,7 +81,7 @@ def close_events(events: DataFrame, horizon_days: float, delay: str) -> DataFram
             for pdf in batches:
                 for stage, deal, at in zip(pdf["stage"], pdf["deal_value"], pdf["changed_at"]):
                     at = pd.Timestamp(at)
-                    at = (at.tz_localize("UTC") if at.tzinfo is None else at.tz_convert("UTC")).as_unit("us").value
+                    at = (at.tz_localize("UTC") if at.tzinfo is None else at).value // 1000  # microseconds
                     if stage == "New":
                         created = at if created is None else min(created, at)
                     elif stage == "Won" and (won is None or at < won):
