@@ -1,9 +1,6 @@
 """String functions as native column expressions."""
 from __future__ import annotations
 
-import math
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,12 +73,15 @@ def best_similarity(text: Column, snippets: tuple[str, ...] = BOILERPLATE_SNIPPE
 
 
 def is_boilerplate(text: Column, threshold: float = BOILERPLATE_SIMILARITY) -> Column:
-    """Similar to a fixed snippet; token counts that cannot reach the threshold skip the comparison."""
+    """Similar to a fixed snippet; a pair whose token counts alone rule the threshold out is not intersected."""
     if not 0 < threshold <= 1:
         raise ValueError(f"threshold must be in (0, 1], got {threshold}")
-    sizes = [len(set(re.findall("[a-z0-9]+", s.lower()))) for s in BOILERPLATE_SNIPPETS]
-    possible = F.size(tokens(text)).between(math.ceil(min(sizes) * threshold), math.floor(max(sizes) / threshold))
-    return F.when(possible, best_similarity(text) >= threshold).otherwise(False)
+    lists = F.array(*[tokens(F.lit(s)) for s in BOILERPLATE_SNIPPETS])
+
+    def close(a: Column, b: Column) -> Column:
+        return ((F.size(a) >= F.size(b) * threshold) & (F.size(b) >= F.size(a) * threshold)
+                & (jaccard(a, b) >= threshold))
+    return F.exists(F.array(tokens(text)), lambda t: F.exists(lists, lambda s: close(t, s)))
 
 
 def _normal(text: Column) -> Column:

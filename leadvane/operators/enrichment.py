@@ -41,19 +41,15 @@ def join_by_name(leads: DataFrame, companies: DataFrame) -> DataFrame:
     index = company_name_index(companies)
     out = leads
     for i, typed in enumerate(("company_name", "a_company")):
-        unmatched = missed if i == 0 else missed & F.col("_hit0").isNull()
-        side = index.select(F.col("name_key").alias(f"_key{i}"), F.lit(True).alias(f"_hit{i}"),
-                            *[F.col(c).alias(f"_n{i}_{c}") for c in ENRICHMENT_COLUMNS])
+        unmatched = missed if i == 0 else missed & F.col("_found0").isNull()
+        side = index.select(F.col("name_key").alias(f"_key{i}"), F.struct(*ENRICHMENT_COLUMNS).alias(f"_found{i}"))
         out = (out.withColumn(f"_key{i}", F.when(unmatched, normalised_company(F.col(typed))))
-               .join(side, f"_key{i}", "left"))
-    by_name = F.col("_hit0").isNotNull() | F.col("_hit1").isNotNull()
-    source = F.when(~missed, "domain").when(by_name, "name")
-    named = {c: F.when(F.col("_hit0").isNotNull(), F.col(f"_n0_{c}")).otherwise(F.col(f"_n1_{c}"))
-             for c in ENRICHMENT_COLUMNS}
-    out = out.withColumns({"enrichment_source": source,
-                           **{f"en_{c}": F.when(~missed, F.col(f"co_{c}")).otherwise(named[c])
-                              for c in ENRICHMENT_COLUMNS}})
-    return out.drop(*[c for c in out.columns if c.startswith(("_key", "_hit", "_n0_", "_n1_"))])
+               .join(side, f"_key{i}", "left").drop(f"_key{i}"))
+    found = F.coalesce("_found0", "_found1")
+    return out.withColumns({
+        "enrichment_source": F.when(~missed, "domain").when(found.isNotNull(), "name"),
+        **{f"en_{c}": F.when(~missed, F.col(f"co_{c}")).otherwise(found[c]) for c in ENRICHMENT_COLUMNS},
+    }).drop("_found0", "_found1")
 
 
 def enrich(leads: DataFrame, companies: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadvane.config import MIN_TEST_CLASS, MIN_TEST_LEADS
 from leadvane.operators.labels import at, plus_days
-from leadvane.operators.ranking import hash_order, running_totals, with_global_rank
+from leadvane.operators.ranking import hash_order, with_global_rank
 
 
 @dataclass(frozen=True)
@@ -87,12 +88,19 @@ def with_folds(df: DataFrame, folds: int, key: str = "lead_id", label: str = "y"
 def hash_cuts(pool: DataFrame, key: str, sizes: Sequence[int], seeds: Sequence[int]) -> dict[tuple[int, int], int]:
     """Hash value of the n-th row in every seed's order: rows at or below it are that seed's sample of size n.
 
-    All seeds are ranked together; only (sizes x seeds) numbers are returned.
+    Hashes are counted per slice of their range with map-side combine; only the rows of the cut slices are ordered, and
+    only (sizes x seeds) numbers are returned.
     """
+    slices = min(max(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64), 4096)
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), hash_order(F.col(key), s).alias("h")) for s in seeds]))
-    counts = pool.select(each.alias("e")).select("e.*").groupBy("seed", "h").agg(F.count("*").alias("n"))
-    slices = 64
-    ranked = running_totals(counts, "h", ["n"], ["seed"], [i * 2147483647 / slices for i in range(1, slices)])
-    hit = F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: (s > F.col("n_before")) & (s <= F.col("n_before") + F.col("n")))
-    found = ranked.select("seed", "h", F.explode(hit).alias("size")).collect()
+    rows = pool.select(F.col(key).alias("_key"), each.alias("e")).select("_key", "e.*").withColumn(
+        "slice", F.floor(F.col("h") * slices / F.lit(2147483647)).cast("int"))
+    counts = rows.groupBy("seed", "slice").agg(F.count("*").alias("n"))
+    before = W.partitionBy("seed").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    hit = F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: (s > F.col("off")) & (s <= F.col("off") + F.col("n")))
+    cut = placed.select("seed", "slice", "off", F.explode(hit).alias("size"))  # one row per (size, seed)
+    inside = rows.join(cut, ["seed", "slice"])
+    rn = F.row_number().over(W.partitionBy("seed", "size").orderBy("h", "_key"))  # rows of one slice
+    found = inside.withColumn("rn", rn).where(F.col("off") + F.col("rn") == F.col("size")).select("seed", "size", "h").collect()
     return {(r["size"], r["seed"]): r["h"] for r in found}
