@@ -2,14 +2,16 @@
 
 Signatures: every element ranks all slots by a permutation of its own, and its value at the slot of rank ``j`` is ``j`` plus
 a fraction. A text stops after the first rank at which all slots hold less than the next rank; long texts need one.
-Copies of one shingle set are one class. Bands of class heads that share a key are compared in two rounds: first all with
-the smallest head of their bucket, then, in buckets that still span several groups, all pairs of different groups, block by
-block inside tasks, of which only pairs with near signatures leave. Every link is confirmed on the whole shingle sets.
-Missed links: chance alone, by banding below 6e-6 for a pair at the threshold (less above it), by signatures below 1e-8.
+Copies of one shingle set are one class. Class heads that share a band's key are compared in rounds, and after each the
+groups are merged: first all with the smallest head of their bucket; then, while this finds links and buckets span several
+groups, each head with its nearest signature in another group; at last all remaining pairs of different groups whose
+signatures are near. The later rounds look at pairs block by block inside tasks. One pair for each head, and in the last
+round only true links, leave them. Every link is confirmed on the whole shingle sets. A pair at the threshold is missed by chance alone: by banding below 6e-6
+(less above the threshold), by signatures below 3e-7.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,20 +29,23 @@ U = np.uint64
 class NearSpec:
     shingle: int = 5
     percent: int = 75
-    slots: int = 128
+    slots: int = 256
+    #: The first so many slots form bands of ``rows`` slots.
+    banded: int = 128
     rows: int = 4
-    #: Members of one bucket that one task compares with as many others.
+    #: Members of one bucket that one cell compares with as many others, by signatures and by full sets.
     block: int = 1024
+    set_block: int = 256
 
     @property
     def bands(self) -> int:
-        return self.slots // self.rows
+        return self.banded // self.rows
 
     @property
     def least_agreement(self) -> int:
-        """Equal slots of a linked pair: the mean at the threshold less six standard deviations."""
+        """Equal slots of a linked pair: the mean at the threshold less five standard deviations."""
         p = self.percent / 100
-        return int(self.slots * p - 6 * (self.slots * p * (1 - p)) ** 0.5)
+        return int(self.slots * p - 5 * (self.slots * p * (1 - p)) ** 0.5)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +91,7 @@ def super_minhash(h: np.ndarray, first: np.ndarray, slots: int) -> np.ndarray:
         more = live[text]
         h, text, k, slot = h[more], text[more], k[more], slot[more]
         if perm is None:
-            perm = np.tile(np.arange(slots, dtype=np.uint16), (len(h), 1))
+            perm = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(h), 1))
         else:
             perm = perm[more]
         row = np.arange(len(h))
@@ -113,7 +118,7 @@ def sketches(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
                 sums = [np.concatenate([[U(0)], np.cumsum(W.mix(h ^ U(c)), dtype=U)]) for c in (0, 0x5851F42D4C957F2D)]
                 f1, f2 = (s[first[1:]] - s[first[:-1]] for s in sums)
                 sig = super_minhash(h, first, spec.slots)
-                keys = _band_keys(sig, spec.rows)
+                keys = _band_keys(sig[:, :spec.banded], spec.rows)
                 keys_off = np.concatenate([[0], np.cumsum(np.where(n > 0, spec.bands, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(keys_off, W.longs(keys[n > 0].ravel()))
                 yield pa.RecordBatch.from_arrays(
@@ -137,14 +142,18 @@ def _likely(pairs: DataFrame, heads: DataFrame, spec: NearSpec) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").where(fit).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
-    """The pairs (a, b) of the written table ``pairs`` whose full shingle sets reach the similarity."""
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(docs: DataFrame, ids: DataFrame, spec: NearSpec) -> DataFrame:
+    """doc_id, words: the packed sorted shingle hashes of the documents of the written table ``ids``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, off in W.chunks(batch.column(1)):
                 h, first = shingle_sets(data, off, spec.shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), W.ragged_binary(h, first)], names=["doc_id", "words"])
+    return keyed(docs.select(F.col("doc_id").cast("long"), "text"), ids).mapInArrow(run, "doc_id long, words binary")
+
 
+def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
+    """The pairs (a, b) of the written table ``pairs`` whose full shingle sets reach the similarity."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             ok = []
@@ -157,7 +166,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(0).filter(keep), t.column(1).filter(keep)], names=["a", "b"])
 
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    sets = written(keyed(docs.select(F.col("doc_id").cast("long"), "text"), ids).mapInArrow(to_sets, "doc_id long, words binary"), "near-sets")
+    sets = written(_sets(docs, ids, spec), "near-sets")
     with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("wb")), "b")
     both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("wa")), "a")
     return both.select("a", "b", "wa", "wb").mapInArrow(compare, "a long, b long").distinct()
@@ -211,29 +220,15 @@ def components(edges: DataFrame) -> DataFrame:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def _cell_pairs(spec: NearSpec):
-    """Pairs of different groups with near signatures, cell by cell; rows come sorted by cell, which may span batches."""
-    def pairs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, comp, n, blk = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles", "blk"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        whole = t.column("bi")[0].as_py() == t.column("bj")[0].as_py()
-        xs, ys = [], []
-        for x in range(len(ids)):
-            y = np.arange(x + 1, len(ids)) if whole else np.flatnonzero(blk != blk[x]) if blk[x] == t.column("bi")[0].as_py() else np.zeros(0, int)
-            y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= spec.percent * np.maximum(n[y], n[x]))]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= spec.least_agreement] if len(y) else y
-            xs.append(np.full(len(y), x))
-            ys.append(y)
-        x, y = (ids[np.concatenate(v).astype(np.int64)] for v in (xs, ys))
-        return np.minimum(x, y), np.maximum(x, y)
-
+def _by_cell(find) -> Callable:
+    """Rows come sorted by cell (key, bi, bj), which may span batches; ``find(cell)`` gives its pairs (a, b)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            a, b = pairs_of(t)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            x, y = find(t)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -252,6 +247,94 @@ def _cell_pairs(spec: NearSpec):
     return run
 
 
+def _partners(t: pa.Table, spec: NearSpec, ordered: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a cell: rows of other groups with a fitting size and a near signature, and their equal slots.
+
+    A cell of one block compares all its rows (``ordered``: each pair once), one of two blocks the first with the second.
+    """
+    comp, n, blk = (t.column(c).to_numpy() for c in ("comp", "n_shingles", "blk"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(n), -1)
+    first, last = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
+    for x in range(len(n)):
+        if first == last:
+            y = np.arange(x + 1 if ordered else 0, len(n))
+        else:
+            y = np.flatnonzero(blk != blk[x]) if blk[x] == first or not ordered else np.zeros(0, np.int64)
+        y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= spec.percent * np.maximum(n[y], n[x]))]
+        if len(y):
+            same = (sig[y] == sig[x]).sum(axis=1)
+            near = same >= spec.least_agreement
+            if near.any():
+                yield x, y[near], same[near]
+
+
+def _nearest(spec: NearSpec):
+    """Each row of a cell with the nearest signature of another group."""
+    def find(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = t.column("doc_id").to_numpy()
+        found = [(x, y[same.argmax()]) for x, y, same in _partners(t, spec, False)]
+        x, y = np.array(found, np.int64).reshape(-1, 2).T
+        return ids[x], ids[y]
+    return find
+
+
+def _links(spec: NearSpec):
+    """All pairs of a cell whose full sets reach the similarity; a pair is tested in the first band that it shares."""
+    def find(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, key = t.column("doc_id").to_numpy(), t.column("key")[0].as_py()
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        sets = [np.frombuffer(w.as_buffer(), U) for w in t.column("words")]
+        xs, ys = [], []
+        for x, y, _ in _partners(t, spec, True):
+            before = np.argmax(bands[x] == key)
+            y = y[~(bands[y, :before] == bands[x, :before]).any(axis=1)]
+            for k in range(0, len(y), 64):
+                part = y[k:k + 64]
+                many = np.concatenate([sets[i] for i in part])
+                n = np.array([len(sets[i]) for i in part])
+                at = np.minimum(np.searchsorted(sets[x], many), len(sets[x]) - 1)
+                common = np.add.reduceat((sets[x][at] == many).astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
+                part = part[100 * common >= spec.percent * (n + len(sets[x]) - common)]
+                xs.append(np.full(len(part), x))
+                ys.append(part)
+        x, y = (ids[np.concatenate(v).astype(np.int64)] if v else np.zeros(0, np.int64) for v in (xs, ys))
+        return x, y
+    return find
+
+
+def _cells(label: DataFrame, block: int) -> DataFrame:
+    """key, bi, bj, blk, doc_id, comp: members of buckets that span several groups, dealt out in cells of two blocks."""
+    rows = label.select("doc_id", "comp", F.explode("bands").alias("key"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("g"))
+    mixed = mixed.where(F.col("c0") != F.col("c1")).select("key", F.ceil(F.col("g") / block).cast("int").alias("nb"))
+    return (rows.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "doc_id", "comp"))
+
+
+def _labelled(heads: DataFrame, groups: DataFrame) -> DataFrame:
+    named = heads.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return written(named.withColumn("comp", F.coalesce("component", "doc_id")).drop("component"), "near-label")
+
+
+def _dealt(cells: DataFrame, find) -> DataFrame:
+    return (cells.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "doc_id")
+            .mapInArrow(_by_cell(find), "a long, b long").distinct())
+
+
+def _nearest_pairs(label: DataFrame, spec: NearSpec) -> DataFrame:
+    rows = _cells(label, spec.block).join(label.select("doc_id", "n_shingles", "sig"), "doc_id")
+    return _dealt(rows.select("key", "bi", "bj", "blk", "doc_id", "comp", "n_shingles", "sig"), _nearest(spec))
+
+
+def _remaining_links(label: DataFrame, docs: DataFrame, spec: NearSpec) -> DataFrame:
+    """Links between groups, confirmed inside the cells, to which each member's full set is sent."""
+    cells = written(_cells(label, spec.set_block), "near-cells")
+    sets = _sets(docs, written(cells.select("doc_id").distinct(), "near-ids"), spec).withColumn("n_shingles", (F.octet_length("words") / 8).cast("long"))
+    rows = cells.join(label.select("doc_id", "sig", "bands", "n_shingles").join(sets, ["doc_id", "n_shingles"]), "doc_id")
+    return _dealt(rows.select("key", "bi", "bj", "blk", "doc_id", "comp", "n_shingles", "sig", "bands", "words"), _links(spec))
+
+
 def near_groups(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: groups of documents linked by 5-word shingle sets.
 
@@ -273,21 +356,19 @@ def near_groups(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     edges = written(confirmed(stars, docs, spec), "near-edges")
     groups = components(edges)
 
-    label = heads.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    label = written(label, "near-label")
-    rows = label.select("doc_id", "comp", F.explode("bands").alias("key"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("g"))
-    mixed = mixed.where(F.col("c0") != F.col("c1")).select("key", F.ceil(F.col("g") / spec.block).cast("int").alias("nb"))
-    cells = (rows.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-             .select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "doc_id", "comp")
-             .join(label.select("doc_id", "n_shingles", "sig"), "doc_id"))
-    columns = ["key", "bi", "bj", "blk", "doc_id", "comp", "n_shingles", "sig"]
-    pairs = (cells.select(*columns).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "doc_id")
-             .mapInArrow(_cell_pairs(spec), "a long, b long").distinct())
-    rest = written(pairs.join(stars, ["a", "b"], "left_anti"), "near-rest")
+    tested, more = stars, True
+    while more:
+        label = _labelled(heads, groups)
+        pairs = written(_nearest_pairs(label, spec).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        new = written(confirmed(pairs, docs, spec), "near-edges")
+        tested, more = tested.union(pairs), new.limit(1).count() > 0
+        if more:
+            edges = edges.union(new)
+            groups = components(edges)
+    edges = edges.union(written(_remaining_links(label, docs, spec), "near-edges"))
+
     members = real.join(classes, ["f1", "f2"]).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    groups = components(edges.union(confirmed(rest, docs, spec)).union(members)).withColumnRenamed("node", "doc_id")
+    groups = components(edges.union(members)).withColumnRenamed("node", "doc_id")
 
     out = base.select("doc_id", "n_shingles").join(groups, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -69,7 +69,7 @@ def test_chain_in_one_block_and_over_blocks(spark):
     words = [f"c{i}" for i in range(400)]
     rows = [(100 - i, " ".join(words[i * 6:i * 6 + 100])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in minhash.near_groups(df, minhash.NearSpec(block=2)).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(df, minhash.NearSpec(block=2, set_block=2)).collect()}
     assert got == plain_groups(rows) and len(set(got.values())) == 1
 
 
