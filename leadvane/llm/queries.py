@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadvane.llm import decontam, fst, langid, line_dedup, minhash
+from leadvane.llm import ann, decontam, fst, langid, line_dedup, minhash, quotes, substring, suffix_array, warc
 from leadvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,48 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = fst.load(MODEL_FILE)
     encoded = fst.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
     return fst.verified(encoded, pieces).select("doc_id", "n_pieces", "n_fallback", "pieces_sha256", "decoded_same")
+
+
+@query("op1_warc", r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op4_nearest_neighbours", r"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_substring_dedup", r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 13], ' ') AS key
+         FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS i FROM words WHERE len(w) >= 13)),
+first AS (SELECT key, min(doc_id) AS first FROM runs GROUP BY key HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM runs r JOIN first f ON r.key = f.key WHERE r.doc_id > f.first),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM words),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.p) AS t FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p
+         WHERE g.p IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, len(w.w)::BIGINT - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op9_quotation_linking")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.unquoted_conversations(table(spark, sf_dir, "conversations"))
+    return out.withColumn("body_sha256", sha_text("body")).drop("body")
