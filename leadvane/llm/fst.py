@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Parts that a worker keeps; a longer part than ``KEEP_CHARS`` is solved anew each time.
-KEEP_PARTS, KEEP_CHARS, KEEP_BORDERS = 300_000, 48, 1_000_000
+_NONE = float("-inf")
+#: Parts that a worker keeps, twice (the older ones until as many new came); a longer part than ``KEEP_CHARS`` is solved anew each time.
+KEEP_PARTS, KEEP_CHARS, KEEP_BORDERS = 450_000, 48, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,7 @@ class Transducer:
         for t in self.ids:
             self.automaton.add_word(t, t)
         self.automaton.make_automaton()
+        self.single = {t for t in self.ids if len(t) == 1}
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("a piece holds a mark behind another character")
         known = {c for t in self.ids for c in t}
@@ -78,6 +80,7 @@ class Transducer:
         self.part = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
         self.floor = min(self.score.values(), default=0.0) - 10
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.borders: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         raw = [t.replace(MARK, " ").encode() if pieces.plain[i] else b"" for i, t in enumerate(pieces.texts)]
@@ -90,15 +93,19 @@ class Transducer:
     def _merged(self, s: str) -> list[str]:
         """What the merges of a short string leave: best score first, the leftmost among equals."""
         parts, score = list(s), self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                x = score.get(parts[i] + parts[i + 1])
-                if x is not None and (best is None or x > best):
-                    best, at = x, i
-            if at < 0:
-                return parts
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        value = [score.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        while value:
+            best = max(value)
+            if best == _NONE:
+                break
+            i = value.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del value[i]
+            if i < len(value):
+                value[i] = score.get(parts[i] + parts[i + 1], _NONE)
+            if i:
+                value[i - 1] = score.get(parts[i - 1] + parts[i], _NONE)
+        return parts
 
     def _stands(self, left: str | None, right: str) -> bool:
         """Whether an arc may follow another: the piece is its own merge result, and the border between both survives."""
@@ -116,8 +123,30 @@ class Transducer:
             ok = self.borders[left, right] = self._stands(None, right) and self._merged(left + right) == [left, right]
         return ok
 
+    def _only_path(self, part: str) -> list[str]:
+        """The one path of a merge model through a part whose characters are all pieces: no weights to compare."""
+        last: list[str | None] = [None] * (len(part) + 1)
+        borders, stands = self.borders, self._stands
+        for end, t in self.automaton.iter(part):
+            if last[end + 1] is None:
+                at = end + 1 - len(t)
+                before = last[at]
+                if before is not None or at == 0:
+                    ok = borders.get((before, t)) if at else stands(None, t)
+                    if ok or ok is None and stands(before, t):
+                        last[end + 1] = t
+        out, i = [], len(part)
+        while i:
+            t = last[i]
+            out.append(t)
+            i -= len(t)
+        out.reverse()
+        return out
+
     def path(self, part: str) -> list[str]:
         """Arcs of the shortest path through the composition with one part of a text."""
+        if self.pieces.merges and self.single.issuperset(part):
+            return self._only_path(part)
         n = len(part)
         cost, last = [float("inf")] * (n + 1), [None] * (n + 1)
         cost[0] = 0.0
@@ -146,6 +175,10 @@ class Transducer:
         return out[::-1]
 
     def _solve(self, part: str) -> bytes:
+        packed = self.older.get(part)
+        if packed is not None:
+            self.kept[part] = packed
+            return packed
         out: list[int] = []
         for t in self.path(part):
             i = self.ids.get(t)
@@ -158,7 +191,7 @@ class Transducer:
         packed = np.array(out, np.int32).tobytes()
         if len(part) <= KEEP_CHARS:
             if len(self.kept) >= KEEP_PARTS:
-                self.kept.clear()
+                self.kept, self.older = {}, self.kept
             self.kept[part] = packed
         return packed
 
@@ -166,9 +199,8 @@ class Transducer:
         """Packed 32-bit ids of a text."""
         if not text:
             return b""
-        kept, solve = self.kept, self._solve
         line = (MARK if self.pieces.prefix else "") + text.replace(" ", MARK)
-        return b"".join([kept.get(p) or solve(p) for p in self.part.findall(line)])
+        return b"".join([self.kept.get(p) or self._solve(p) for p in self.part.findall(line)])
 
     def decode(self, packed: bytes) -> bytes:
         """UTF-8 bytes of packed ids: every piece's text or byte, without the mark put in front."""
