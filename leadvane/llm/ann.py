@@ -1,9 +1,9 @@
 """Nearest neighbours by inner product on randomly rotated one-bit codes.
 
 A vector becomes the signs of its rotated components, packed into 64-bit words, with two scalars: its norm and how much of
-it the code explains. A rotated query is cut into 8-bit numbers; AND and bit counts of its bit planes with a code estimate
-the inner product, and the scalars bound the error. A vector is reranked with the original components where its upper
-bound reaches the k-th best lower bound. Queries and codes meet tile by tile: blocks of queries with blocks of codes.
+it the code explains. A rotated query is cut into 6-bit numbers; AND and bit counts of its bit planes with a code estimate
+the inner product, and the scalars bound the error. The k best estimates of a tile are scored with the original
+components; every other vector whose upper bound reaches the lowest of these scores is reranked too. Queries and codes meet tile by tile: blocks of queries with blocks of codes.
 """
 from __future__ import annotations
 
@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 from leadvane.llm.common import written
 
 U = np.uint64
-PLANES = 8
+PLANES = 6
 
 
 @dataclass(frozen=True)
 class CodeSpec:
     k: int = 20
     #: Standard deviations of the estimate that its bounds allow for.
-    deviations: float = 3.5
+    deviations: float = 3.0
+    bits_per_component: int = 2
     codes_in_block: int = 8192
     queries_in_block: int = 512
     seed: int = 11
@@ -45,64 +46,68 @@ def clean_vectors(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == size[0]["d"]) if size else rows
 
 
-def rotation(d: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix, d x D with D the next multiple of 64: the vector is padded and turned."""
-    wide = -(-d // 64) * 64
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(wide, wide)))
+def rotation(d: int, spec: CodeSpec) -> np.ndarray:
+    """A random orthogonal matrix, d x D with D bits a code, a multiple of 64: the vector is padded and turned."""
+    wide = -(-d * spec.bits_per_component // 64) * 64
+    q, r = np.linalg.qr(np.random.default_rng(spec.seed).normal(size=(wide, wide)))
     return (q * np.sign(np.diag(r)))[:d]
 
 
-def _codes(v: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits, norm, and inner product of the unit vector with its code."""
+def _codes(v: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed sign bits, and for each vector its norm and the inner product of its unit vector with its code."""
     norm = np.sqrt((v * v).sum(axis=1))
     turned = (v / norm[:, None]) @ turn
-    bits = turned > 0
     agreed = np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1])
-    return np.packbits(bits, axis=1, bitorder="little").view(U), norm, agreed
+    return np.packbits(turned > 0, axis=1, bitorder="little").view(U), np.stack([norm, agreed], axis=1)
 
 
-def _bounds(q: np.ndarray, turn: np.ndarray, code: np.ndarray, norm: np.ndarray, agreed: np.ndarray, spec: CodeSpec) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bound of the inner product of every query with every coded vector."""
-    wide = turn.shape[1]
+def _estimates(q: np.ndarray, turn: np.ndarray, code: np.ndarray, scalars: np.ndarray, spec: CodeSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Estimated inner products (queries x vectors) of unit queries, each vector's error bound, and the query norms."""
+    wide, (norm, agreed) = turn.shape[1], scalars.T
     q_norm = np.sqrt((q * q).sum(axis=1))
     turned = (q / q_norm[:, None]) @ turn
     low = turned.min(axis=1)
     step = np.maximum(turned.max(axis=1) - low, 1e-300) / (2 ** PLANES - 1)
     level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
-    ones = np.bitwise_count(code).sum(axis=1).astype(np.int64)
-    both = np.zeros((len(q), len(code)), np.int64)
+    ones = np.bitwise_count(code).sum(axis=1).astype(np.float32)
+    both = np.zeros((len(q), len(code)), np.int32)
     for b in range(PLANES):
         plane = np.packbits((level >> b & 1).astype(bool), axis=1, bitorder="little").view(U)
-        for w in range(code.shape[1]):
-            both += np.bitwise_count(plane[:, w, None] & code[None, :, w]).astype(np.int64) << b
+        count = np.bitwise_count(plane[:, 0, None] & code[None, :, 0]).astype(np.int32)
+        for w in range(1, code.shape[1]):
+            count += np.bitwise_count(plane[:, w, None] & code[None, :, w])
+        count <<= b
+        both += count
     # sum of sign * component = 2 * (sum over set bits) - (sum over all)
-    at_bits = step[:, None] * both + low[:, None] * ones[None, :]
     total = step * level.sum(axis=1) + low * wide
-    estimate = (2 * at_bits - total[:, None]) / np.sqrt(wide) / agreed[None, :]
-    spread = np.sqrt(np.maximum(1 - agreed ** 2, 0)) / agreed / np.sqrt(max(wide - 1, 1)) * spec.deviations
-    cut = step[:, None] / 2 * np.sqrt(wide) / agreed[None, :]
-    scale = q_norm[:, None] * norm[None, :]
-    return (estimate - spread - cut) * scale, (estimate + spread + cut) * scale
+    e = both.astype(np.float32)
+    e *= (2 * step)[:, None].astype(np.float32)
+    e += (2 * low)[:, None].astype(np.float32) * ones[None, :]
+    e -= total[:, None].astype(np.float32)
+    e *= (norm / agreed / np.sqrt(wide)).astype(np.float32)[None, :]
+    variance = np.maximum(1 - agreed ** 2, 0) / max(wide - 1, 1) + step.max(initial=0) ** 2 / 12
+    return e, (spec.deviations * norm * np.sqrt(variance) / agreed).astype(np.float32) + np.float32(1e-6) * norm.astype(np.float32), q_norm
 
 
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of row pairs, summed component by component: equal vectors have equal scores."""
-    out = np.zeros(len(q))
-    for d in range(q.shape[1]):
-        out += q[:, d] * v[:, d]
+    """Inner products of rows with rows or one vector, summed component by component: equal vectors have equal scores."""
+    out = np.zeros(len(v))
+    for d in range(v.shape[1]):
+        out += q[..., d] * v[:, d]
     return out
 
 
-def _packed(rows: DataFrame, key: str, d: int) -> DataFrame:
-    """One row for each block: ids and vectors packed as binary. Blocks have a bounded number of rows."""
+def _packed(rows: DataFrame, key: str, turn: np.ndarray) -> DataFrame:
+    """One row for each block: ids, vectors, codes and scalars packed as binary. Blocks have a bounded number of rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for ids, vs, block in zip(t.column(1), t.column(2), t.column(0)):
-                v = vs.values.flatten().to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([ids.values.to_numpy().astype(np.int64).tobytes()], pa.binary()),
-                                                  pa.array([v.astype(np.float64).tobytes()], pa.binary())], names=["block", "ids", "vectors"])
+                v = vs.values.flatten().to_numpy().astype(np.float64).reshape(-1, turn.shape[0])
+                code, scalars = _codes(v, turn)
+                packed = [ids.values.to_numpy().astype(np.int64), v, code, scalars]
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=["block", "ids", "vectors", "codes", "scalars"])
     grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("g")).select(key, F.col("g.vec_id").alias("ids"), F.col("g.v").alias("vs"))
-    return grouped.mapInArrow(run, "block long, ids binary, vectors binary")
+    return written(grouped.mapInArrow(run, "block long, ids binary, vectors binary, codes binary, scalars binary"), "codes")
 
 
 def search(vectors: DataFrame, is_query: F.Column, spec: CodeSpec = CodeSpec()) -> DataFrame:
@@ -117,14 +122,14 @@ def search(vectors: DataFrame, is_query: F.Column, spec: CodeSpec = CodeSpec())
     if not first:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = first[0]["d"]
-    turn = rotation(d, spec.seed)
+    turn = rotation(d, spec)
     queries = rows.where(is_query)
     n, n_queries = rows.count(), queries.count()
     n_codes, n_asked = -(-n // spec.codes_in_block), -(-n_queries // spec.queries_in_block)
-    blocks = _packed(rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_codes))), "block", d)
-    asked = _packed(queries.withColumn("qblock", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, n_asked)))), "qblock", d)
+    blocks = _packed(rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_codes))), "block", turn)
+    asked = _packed(queries.withColumn("qblock", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, n_asked)))), "qblock", turn)
     asked = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_codes - 1).cast("long"))).alias("block"))
-    tiles = asked.join(blocks, "block").select("q_ids", "q_vectors", "ids", "vectors")
+    tiles = asked.join(blocks, "block").select("q_ids", "q_vectors", "ids", "vectors", "codes", "scalars")
     tiles = tiles.repartition(max(1, n_codes * n_asked))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,20 +137,23 @@ def search(vectors: DataFrame, is_query: F.Column, spec: CodeSpec = CodeSpec())
             for r in range(t.num_rows):
                 q_ids, ids = (np.frombuffer(t.column(c)[r].as_buffer(), np.int64) for c in (0, 2))
                 q, v = (np.frombuffer(t.column(c)[r].as_buffer(), np.float64).reshape(-1, d) for c in (1, 3))
-                code, norm, agreed = _codes(v, turn)
+                code = np.frombuffer(t.column(4)[r].as_buffer(), U).reshape(len(ids), -1)
+                scalars = np.frombuffer(t.column(5)[r].as_buffer(), np.float64).reshape(-1, 2)
+                k = min(spec.k, len(ids))
                 for a in range(0, len(q), 64):
-                    low, high = _bounds(q[a:a + 64], turn, code, norm, agreed, spec)
-                    own = q_ids[a:a + 64, None] == ids[None, :]
-                    low[own] = high[own] = -np.inf
-                    k = min(spec.k, len(ids))
-                    kth = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-                    x, y = np.nonzero((high >= kth[:, None]) & ~own)
-                    score = _exact(q[a + x], v[y])
-                    order = np.lexsort((ids[y], -score, x))
-                    x, y, score = x[order], y[order], score[order]
-                    place = np.arange(len(x)) - np.searchsorted(x, x)
-                    keep = place < spec.k
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[a + x[keep]]), pa.array(ids[y[keep]]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+                    e, bound, q_norm = _estimates(q[a:a + 64], turn, code, scalars, spec)
+                    e[q_ids[a:a + 64, None] == ids[None, :]] = -np.inf
+                    best = np.argpartition(e, len(ids) - k, axis=1)[:, len(ids) - k:]
+                    rows = []
+                    for x in range(len(e)):
+                        # The k best estimates, scored exactly, give a floor; a higher upper bound may still rise above it.
+                        floor = _exact(q[a + x], v[best[x][np.isfinite(e[x, best[x]])]]).min(initial=np.inf) / q_norm[x]
+                        y = np.flatnonzero(e[x] + bound >= np.float32(floor - 1e-6 * abs(floor)) if np.isfinite(e[x, best[x]]).all() else np.isfinite(e[x]))
+                        y = y[np.isfinite(e[x, y])]
+                        score = _exact(q[a + x], v[y])
+                        order = np.lexsort((ids[y], -score))[:spec.k]
+                        rows.append((np.full(len(order), q_ids[a + x]), ids[y[order]], score[order]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
 
     found = tiles.mapInArrow(nearest, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
