@@ -15,15 +15,18 @@ def is_bot(user_agent: Column, time_on_page_s: Column) -> Column:
 
 
 def flag_repeats(df: DataFrame, key: str, order: list[str], flag: str = "dup") -> DataFrame:
-    """True on every row but the first per ``key`` by ``order``; null keys are never repeats.
+    """True on every row but the first per ``key`` by ``order``; null keys, and rows without a time, are never repeats.
+
+    ``order`` begins with the time: a row that lacks it is not the first of its key either.
 
     The first row per key comes from a partial aggregate and an equi join, so a key that holds a large share of the
     rows is combined map-side and its join partition is split, instead of being sorted in one window task.
     """
-    first = (df.where(F.col(key).isNotNull()).groupBy(key)
+    timed = F.col(order[0]).isNotNull()
+    first = (df.where(F.col(key).isNotNull() & timed).groupBy(key)
              .agg(F.min(F.struct(*order)).alias("_first")))
     return (df.join(first, key, "left")
-            .withColumn(flag, F.coalesce(F.struct(*order) != F.col("_first"), F.lit(False)))
+            .withColumn(flag, F.coalesce(timed & (F.struct(*order) != F.col("_first")), F.lit(False)))
             .drop("_first"))
 
 

@@ -152,3 +152,17 @@ def test_bootstrap_properties(data):
     w = bootstrap.poisson_weights(np.arange(5000), np.ones(5000, dtype=int), 40, 0)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
     assert np.abs(np.corrcoef(w.T) - np.eye(40)).max() < 0.08
+
+
+def test_repeats_ignore_rows_without_a_time(spark):
+    from leadvane.operators.cleaning import flag_repeats
+    rows = [("k", None, 1), ("k", 10, 2), ("k", 20, 3), (None, 5, 4), ("n", None, 5), ("n", None, 6)]
+    got = flag_repeats(spark.createDataFrame(rows, "k string, at long, id long"), "k", ["at", "id"]).collect()
+    assert {r.id for r in got if r.dup} == {3}
+
+
+def test_the_anchor_is_the_median_of_capped_values(spark):
+    from leadvane.operators.value import ValueTransform, fit_transforms
+    ref = spark.createDataFrame([(1.0,), (3.0,)], "v double")
+    fitted = fit_transforms(ref, "v", [ValueTransform()])[0]
+    assert abs(fitted.anchor - 1.97) < 1e-9
