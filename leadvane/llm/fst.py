@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 _NONE = float("-inf")
 #: Parts that a worker keeps, twice (the older ones until as many new came); a longer part than ``KEEP_CHARS`` is solved anew each time.
-KEEP_PARTS, KEEP_CHARS, KEEP_BORDERS = 450_000, 48, 1_000_000
+KEEP_PARTS, KEEP_CHARS, KEEP_BORDERS = 150_000, 48, 300_000
 
 
 @dataclass(frozen=True)
