@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 _NONE = float("-inf")
-#: Parts that a worker keeps, twice (the older ones until as many new came); a longer part than ``KEEP_CHARS`` is solved anew each time.
-KEEP_PARTS, KEEP_CHARS, KEEP_BORDERS = 150_000, 48, 300_000
+#: Parts that a task keeps, twice (the older ones until as many new came); a longer part than ``KEEP_CHARS`` is solved anew each time.
+KEEP_PARTS, KEEP_CHARS, KEEP_BORDERS = 200_000, 48, 300_000
 
 
 @dataclass(frozen=True)
@@ -90,6 +90,10 @@ class Transducer:
         self.raw_len = np.array([len(r) for r in raw], np.int64)
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_len)[:-1]])
 
+    def release(self) -> None:
+        """Forget the solved parts and borders: a worker that has ended its task holds the model alone."""
+        self.kept, self.older, self.borders = {}, {}, {}
+
     def _merged(self, s: str) -> list[str]:
         """What the merges of a short string leave: best score first, the leftmost among equals."""
         parts, score = list(s), self.score
@@ -234,6 +238,8 @@ def _mapped(df: DataFrame, source: str, new: dict[str, T.DataType], made) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *made(batch.column(at))], names=names)
+        for machine in _MACHINES.values():
+            machine.release()
     return df.mapInArrow(run, schema)
 
 
