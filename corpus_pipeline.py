@@ -42,8 +42,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Packed piece ids of each text, their number, and whether decoding them gives the text back."""
     prepare(spark)
     pieces = fst.load(MODEL_FILE)
-    encoded = fst.encode(docs.select("doc_id", "lang", "source", "text"), pieces)
-    return fst.verified(encoded, pieces).drop("text")
+    return fst.round_trip(docs.select("doc_id", "lang", "source", "text"), pieces).drop("text")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup),

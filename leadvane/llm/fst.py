@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -270,26 +270,47 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     return _mapped(encoded, "pieces", {"decoded": T.StringType()}, made)
 
 
+def _report(machine: Transducer, first: int, last: int, texts: Iterable[str | None], packed: Iterable[bytes | None]) -> list[pa.Array]:
+    """n_pieces, n_fallback, pieces_sha256 and decoded_same of texts and their packed ids."""
+    rows = []
+    for text, own in zip(texts, packed):
+        own = own or b""
+        ids = np.frombuffer(own, np.int32)
+        same = machine.decode(own) == (text or "").replace(MARK, " ").encode()
+        rows.append((len(ids), int(((ids >= first) & (ids <= last)).sum()), hashlib.sha256(own).hexdigest(), same))
+    return [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
+
+
+_REPORTED = {"n_pieces": T.LongType(), "n_fallback": T.LongType(), "pieces_sha256": T.StringType(), "decoded_same": T.BooleanType()}
+
+
+def _byte_range(pieces: Pieces) -> tuple[int, int]:
+    return (min(pieces.byte_ids), max(pieces.byte_ids)) if pieces.byte_ids else (-1, -1)
+
+
 def verified(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """``encoded`` with n_pieces, n_fallback (byte pieces), pieces_sha256 and decoded_same: ``pieces`` decode to ``text``.
 
     A space mark in the text counts as a space. A null text counts as empty.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
-    encoded = encoded.drop("n_pieces", "n_fallback", "pieces_sha256", "decoded_same")
-    new = {"n_pieces": T.LongType(), "n_fallback": T.LongType(), "pieces_sha256": T.StringType(), "decoded_same": T.BooleanType()}
-    schema = T.StructType([*encoded.schema.fields, *(T.StructField(k, t) for k, t in new.items())])
-    text_at, at, names = encoded.columns.index("text"), encoded.columns.index("pieces"), [*encoded.columns, *new]
-    first, last = (min(pieces.byte_ids), max(pieces.byte_ids)) if pieces.byte_ids else (-1, -1)
+    shared, (first, last) = encoded.sparkSession.sparkContext.broadcast(pieces), _byte_range(pieces)
+    encoded = encoded.drop(*_REPORTED)
+    schema = T.StructType([*encoded.schema.fields, *(T.StructField(k, t) for k, t in _REPORTED.items())])
+    text_at, at, names = encoded.columns.index("text"), encoded.columns.index("pieces"), [*encoded.columns, *_REPORTED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            machine, rows = _machine(shared.value), []
-            for t, p in zip(batch.column(text_at), batch.column(at)):
-                packed = p.as_py() or b""
-                ids = np.frombuffer(packed, np.int32)
-                same = machine.decode(packed) == (t.as_py() or "").replace(MARK, " ").encode()
-                rows.append((len(ids), int(((ids >= first) & (ids <= last)).sum()), hashlib.sha256(packed).hexdigest(), same))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_())))], names=names)
+            made = _report(_machine(shared.value), first, last, batch.column(text_at).to_pylist(), batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
     return encoded.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """``verified(encode(docs))`` in one pass, so that a task holds one worker and one machine instead of two."""
+    shared, (first, last) = docs.sparkSession.sparkContext.broadcast(pieces), _byte_range(pieces)
+
+    def made(texts: pa.Array) -> list[pa.Array]:
+        machine, rows = _machine(shared.value), texts.to_pylist()
+        packed = [None if t is None else machine.encode(t) for t in rows]
+        return [pa.array(packed, pa.binary()), *_report(machine, first, last, rows, packed)]
+    return _mapped(docs, "text", {"pieces": T.BinaryType()} | _REPORTED, made)

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leadvane.llm import decontam, fst, langid, line_dedup, queries, substring, suffix_array
 from leadvane.llm.common import prepare
@@ -169,6 +170,10 @@ def test_pieces(spark):
             ids = library.encode(r.text)
             assert np.frombuffer(bytes(r.pieces), np.int32).tolist() == ids and r.decoded == library.decode(ids)
     assert fst.encode(frame(spark, []), pieces).collect() == []
+    once = fst.round_trip(frame(spark, rows).withColumn("n_pieces", F.lit(-1)), pieces).drop("decoded")
+    twice = fst.verified(fst.encode(frame(spark, rows), pieces), pieces).select(*once.columns)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, twice.collect()))
+    assert fst.round_trip(frame(spark, []), pieces).collect() == []
 
 
 def test_weighted_paths_equal_the_best_segmentation():
