@@ -220,13 +220,13 @@ def _fit_cells(t: Tables) -> tuple[DataFrame, list[tuple[str, str]]]:
 
 
 def rolling_test_scores(t: Tables) -> DataFrame:
-    """(variant, split, y, p) of every test row under the model fitted at its split: all fits together."""
+    """(variant, split, y, p) of every test row under the model fitted at its split; a split without a fit has no rows."""
     rows, cells = _fit_cells(t)
     rows = rows.persist()
     beta = fits.fit_many(rows, len(cells), fits.column_weights(), "ys")
-    scored_rows = fits.score_many(rows, np.nan_to_num(beta), ["lead_id", "ys", "in_test"])
+    scored_rows = fits.score_many(rows, beta, ["lead_id", "ys", "in_test"])
     each = scored_rows.select("lead_id", "ys", "in_test", F.posexplode("ps").alias("k", "p")).where(
-        F.element_at("in_test", F.col("k") + 1))
+        F.element_at("in_test", F.col("k") + 1) & F.col("p").between(0, 1))
     names = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(s).alias("split")) for v, s in cells])
     return each.select("lead_id", F.element_at(names, F.col("k") + 1).alias("c"), F.element_at("ys", F.col("k") + 1).alias("y"), "p").select(
         "lead_id", "c.*", "y", "p")
@@ -281,7 +281,7 @@ def calibration_decay(t: Tables) -> DataFrame:
     for i, (m, _, evals) in enumerate(_WINDOWS):
         for e in evals:
             _, test = spec.masks(F.col("y"), labels.at(f"{e}-01"), ORDERS_DATES.as_of)
-            cells.append(F.when(test, F.struct(F.lit(f"{m} on {e}").alias("window"), F.element_at("ps", i + 1).alias("p"))))
+            cells.append(F.when(test & F.element_at("ps", i + 1).between(0, 1), F.struct(F.lit(f"{m} on {e}").alias("window"), F.element_at("ps", i + 1).alias("p"))))
     long = scored_rows.select("y", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("y", "c.*")
     return screens.calibration(long, "window")
 

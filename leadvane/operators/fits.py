@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.nd
     ``rows`` holds the array ``x``, the label ``y`` (a number, or an array with one label per fit) and whatever
     ``weights`` reads to give the rows x fits weight matrix. Fits whose weighted rows lack a class are NaN.
     """
-    rows = rows.persist()
+    own = rows.storageLevel == StorageLevel.NONE  # a caller's cache stays
+    if own:
+        rows = rows.persist()
     d = len(rows.select("x").first()["x"]) + 1
     penalty = np.broadcast_to(np.asarray(c, dtype=float), (fits,))
     beta = np.zeros((fits, d))
@@ -92,7 +95,8 @@ def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.nd
                 largest = max(largest, float(np.max(np.abs(step))))
         if not alive.any():
             break
-    rows.unpersist()
+    if own:
+        rows.unpersist()
     if largest > 1e-4:
         raise RuntimeError("logistic fits did not converge (separated classes without a penalty?)")
     return beta
@@ -113,7 +117,7 @@ def coefficient_frame(spark, beta: np.ndarray, columns: Sequence[str]) -> DataFr
 
 
 def score_many(rows: DataFrame, beta: np.ndarray, keep: Sequence[str]) -> DataFrame:
-    """Probability under every fit as an array column ``ps`` (null entries for fits that were not possible)."""
+    """Probability under every fit as an array column ``ps``; null or NaN for fits that were not possible."""
     fields = [f"`{c}` {t}" for c, t in rows.select(*keep).dtypes]
 
     def score(batches):

@@ -145,3 +145,15 @@ def test_calibration_matches_optimum(spark):
     x = np.log(p / (1 - p))
     assert np.sum(y - 1 / (1 + np.exp(-(row["intercept"] + x)))) == pytest.approx(0, abs=1e-6)
     assert RunDates().horizon_days == 120 and row["slope"] > 0
+
+
+def test_fits_leave_the_callers_cache_and_mark_missing_fits(spark):
+    data = [(i, [float(i % 3), float(i % 2)], float(i % 5 == 0), [1.0, float(i % 5 == 0)]) for i in range(60)]
+    rows = spark.createDataFrame(data, "lead_id bigint, x array<double>, y double, w array<double>").persist()
+    beta = fits.fit_many(rows, 2, fits.column_weights())
+    assert rows.storageLevel.useMemory and np.isfinite(beta[0]).all() and np.isnan(beta[1]).all()
+    ps = fits.score_many(rows, beta, ["lead_id"]).select(F.posexplode("ps").alias("k", "p"))
+    assert {r.k: r.n for r in ps.where(F.col("p").between(0, 1)).groupBy("k").agg(F.count("*").alias("n")).collect()} == {0: 60}
+    rows.unpersist()
+    fits.fit_many(rows, 2, fits.column_weights())
+    assert not rows.storageLevel.useMemory
