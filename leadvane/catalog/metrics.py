@@ -167,7 +167,7 @@ def bottom_decile_ghosted(t: Tables) -> DataFrame:
 
 
 # ---- bootstrap ----
-RESAMPLES = 20
+RESAMPLES = 1000
 SQL_CUTS = " + ".join(f"(h >= {c})::INT" for c in bootstrap.POISSON_CUTS)
 
 
@@ -176,32 +176,45 @@ def sql_hash(id_: str, seed: str) -> str:
     return f"(SELECT (b * b + 16807 * b + 11) % {P} FROM (SELECT (a * a + 40014 * a + 7) % {P} AS b FROM (SELECT ({a})::BIGINT AS a)))"
 
 
-view("boot_rows", "SELECT lead_id, y, p + lead_id * 1e-9 AS s1, value + lead_id * 1e-6 AS s2 FROM test_rows")
-view("boot_hash", f"""
-SELECT lead_id, y, s1, s2, resample, (b * b + 16807 * b + 11) % {P} AS h FROM (
-  SELECT *, (a * a + 40014 * a + 7) % {P} AS b FROM (
-    SELECT *, ((lead_id % {P}) * 48271 + ((resample * {bootstrap.DRAWS_PER_RESAMPLE}) % {P}) * 69621 + 12345) % {P} AS a
-    FROM boot_rows CROSS JOIN (SELECT unnest(range({RESAMPLES})) AS resample)))""")
-view("boot_weights", f"SELECT lead_id, y, s1, s2, resample, ({SQL_CUTS})::BIGINT AS w FROM boot_hash")
+def weight_views(name: str, bins: str) -> None:
+    """Views of the Poisson(c) quantile of every (bin, resample) hash; ``bins`` has the columns rep and c."""
+    view(f"{name}_bins", bins)
+    view(f"{name}_cuts", f"""
+SELECT c, min(k) AS low, list(floor(cdf * {P})::BIGINT ORDER BY k) AS cuts FROM (
+  SELECT c, k, sum(exp(k * ln(c) - c - lgamma(k + 1))) OVER (PARTITION BY c ORDER BY k) AS cdf FROM (
+    SELECT c, unnest(range(greatest(0, floor(c - 10 * sqrt(c) - 20))::BIGINT, ceil(c + 10 * sqrt(c) + 20)::BIGINT + 1)) AS k
+    FROM (SELECT DISTINCT c FROM {name}_bins))) GROUP BY c""")
+    view(f"{name}_weights", f"""
+SELECT * EXCLUDE (a, b, h, low, cuts), low + len(list_filter(cuts, lambda x: x <= h)) AS w FROM (
+  SELECT *, (b * b + 16807 * b + 11) % {P} AS h FROM (
+    SELECT *, (a * a + 40014 * a + 7) % {P} AS b FROM (
+      SELECT *, ((rep % {P}) * 48271 + ((resample * {bootstrap.DRAWS_PER_RESAMPLE}) % {P}) * 69621 + 12345) % {P} AS a
+      FROM {name}_bins CROSS JOIN (SELECT unnest(range({RESAMPLES})) AS resample)))) JOIN {name}_cuts USING (c)""")
 
 
-def sql_weighted_auc(score: str) -> str:
+view("boot_rows", "SELECT lead_id, y, round(p, 2) AS s1, floor(value / 50) AS s2 FROM test_rows")
+weight_views("boot_one", "SELECT y, s1, min(lead_id) AS rep, count(*) AS c FROM boot_rows GROUP BY y, s1")
+weight_views("boot", "SELECT y, s1, s2, min(lead_id) AS rep, count(*) AS c FROM boot_rows GROUP BY y, s1, s2")
+
+
+def sql_weighted_auc(score: str, weights: str = "boot_weights") -> str:
     return f"""SELECT resample, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM (
       SELECT resample, pos, neg, coalesce(sum(neg) OVER (PARTITION BY resample ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING
         AND 1 PRECEDING), 0) AS below FROM (SELECT resample, {score} AS s, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg
-        FROM boot_weights GROUP BY resample, {score})) GROUP BY resample"""
+        FROM {weights} GROUP BY resample, s)) GROUP BY resample"""
 
 
+view("boot_one_auc", sql_weighted_auc("s1", "boot_one_weights"))
 view("boot_auc", f"SELECT a.resample, a.auc AS auc1, b.auc AS auc2 FROM ({sql_weighted_auc('s1')}) a JOIN ({sql_weighted_auc('s2')}) b USING (resample)")
 
 
 def boot_rows(t: Tables) -> DataFrame:
-    return test_rows(t).select("lead_id", "y", (F.col("p") + F.col("lead_id") * F.lit(1e-9)).alias("s1"),
-                               (F.col("value") + F.col("lead_id") * F.lit(1e-6)).alias("s2"))
+    """Test rows with two coarse scores, so that many rows tie."""
+    return test_rows(t).select("lead_id", "y", F.round("p", 2).alias("s1"), F.floor(F.col("value") / 50).cast("double").alias("s2"))
 
 
 @query("E6_bootstrap_auc_interval", """
-SELECT round(quantile_cont(auc1, 0.025), 6) AS lo, round(quantile_cont(auc1, 0.975), 6) AS hi, count(*) AS resamples FROM boot_auc""")
+SELECT round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi, count(*) AS resamples FROM boot_one_auc""")
 def bootstrap_auc_interval(t: Tables) -> DataFrame:
     samples = bootstrap.resampled_auc(boot_rows(t), ["s1"], resamples=RESAMPLES)
     tail = samples.groupBy("model").agg(F.count("*").alias("resamples"), F.percentile("auc", 0.025).alias("lo"),
@@ -209,7 +222,7 @@ def bootstrap_auc_interval(t: Tables) -> DataFrame:
     return tail.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "resamples")
 
 
-@query("E6_bootstrap_samples", "SELECT 's1' AS model, resample, round(auc1, 6) AS auc FROM boot_auc")
+@query("E6_bootstrap_samples", "SELECT 's1' AS model, resample, round(auc, 6) AS auc FROM boot_one_auc")
 def bootstrap_samples(t: Tables) -> DataFrame:
     return bootstrap.resampled_auc(boot_rows(t), ["s1"], resamples=RESAMPLES).withColumn("auc", F.round("auc", 6))
 
@@ -322,13 +335,22 @@ def value_tiers(t: Tables) -> DataFrame:
                      F.round(f.apply(F.col("value")), 4).alias("tier_value"))
 
 
-view("upload_test", """
+def _sql_tiers(n: int) -> str:
+    """Test rows at the mean training value of their tier."""
+    tier = "len(list_filter(e, lambda x: value >= x))"
+    edges = f"(SELECT quantile_cont(value, {[i / n for i in range(1, n)]}) AS e FROM scored WHERE is_train)"
+    return f"""SELECT revenue, 'tiers {n}', m FROM (SELECT revenue, {tier} AS tier FROM test_rows, {edges})
+  JOIN (SELECT {tier} AS tier, avg(value) AS m FROM scored, {edges} WHERE is_train GROUP BY 1) USING (tier)"""
+
+
+view("upload_test", f"""
 SELECT revenue, 'identity' AS transform, value AS v FROM test_rows
 UNION ALL SELECT revenue, 'cap p97', least(value, cap) FROM test_rows, fit_numbers
 UNION ALL SELECT revenue, 'cap p97 + floor £25', greatest(25, least(value, cap)) FROM test_rows, fit_numbers
 UNION ALL SELECT revenue, 'cap p97 + sqrt', sqrt(least(value, cap) * anchor) * sqrt_scale FROM test_rows, fit_numbers
 UNION ALL SELECT revenue, 'cap p97 + log', anchor * log2(1 + least(value, cap) / anchor) * log_scale FROM test_rows, fit_numbers
-UNION ALL SELECT revenue, 'cap p97 + log + floor £25', greatest(25, anchor * log2(1 + least(value, cap) / anchor) * log_scale) FROM test_rows, fit_numbers""")
+UNION ALL SELECT revenue, 'cap p97 + log + floor £25', greatest(25, anchor * log2(1 + least(value, cap) / anchor) * log_scale) FROM test_rows, fit_numbers
+UNION ALL {_sql_tiers(5)} UNION ALL {_sql_tiers(10)}""")
 
 
 @query("V4_transform_comparison", """
@@ -345,8 +367,7 @@ FROM (SELECT transform, count(*) AS n, quantile_cont(v, 0.5) AS p50, max(v) AS m
       floor(count(*) OVER (PARTITION BY transform) * 0.2::DOUBLE) AS cut FROM upload_test)) GROUP BY transform)""")
 def transform_comparison(t: Tables) -> DataFrame:
     df = scored(t).select("lead_id", "value", "is_train", "is_test", "revenue").persist()
-    specs = [s for s in value.REPORT_TRANSFORMS if s.tiers is None]
-    out = compare_transforms(df.where("is_train"), df.where("is_test"), specs)
+    out = compare_transforms(df.where("is_train"), df.where("is_test"), value.REPORT_TRANSFORMS)
     return out.select("transform", "n", *[F.round(c, 4).alias(c) for c in ("p50", "max")],
                       F.round("max_over_median", 6).alias("max_over_median"), "ties_at_cut",
                       *[F.round(c, 6).alias(c) for c in ("capture", "retention", "value_over_revenue")], "accepted")

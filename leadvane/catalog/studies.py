@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from leadvane.catalog.base import query, view
 from leadvane.catalog.features import scored, test_rows
-from leadvane.catalog.metrics import RESAMPLES, SQL_CUTS, rounded_auc, sql_auc, sql_hash
+from leadvane.catalog.metrics import RESAMPLES, SQL_CUTS, boot_rows, rounded_auc, sql_auc, sql_hash
 from leadvane.catalog.outcomes import LEGACY, ORDERS_DATES, STUDY_SPECS
 from leadvane.catalog.summaries import extras_table
 from leadvane.catalog.views import T_AS_OF, T_TEST_FROM, WEIGHTS
-from leadvane.config import (CONTEXT_LEVELS, CONTEXT_REFERENCES, JUDGMENTS, LEVELS, PERSONA_GROUPS, V2_REFERENCES, VALUE_LEVELS,
+from leadvane.config import (CONTEXT_LEVELS, CONTEXT_REFERENCES, FEATURES, JUDGMENTS, LEVELS, PERSONA_GROUPS, V2_REFERENCES, VALUE_LEVELS,
                              design_columns)
 from leadvane.functions.scores import logit
 from leadvane.operators import (bootstrap, design, extras, features, fits, judgments, labels, metrics, models, ranking, screens,
@@ -179,11 +179,12 @@ def contract_problems(t: Tables) -> DataFrame:
 
 # ---- splits ----
 SPLITS = ("1999-06-01", "1999-09-01", "1999-12-01", "2000-03-01", "2000-06-01", "2000-09-01")
+ORIGINS = splits.origins(SPLITS, ORDERS_DATES.as_of, 120)
 
 
 def rolling_rows(t: Tables, keep=("lead_id",)) -> DataFrame:
     df = scored(t).withColumn("y_legacy", labels.legacy_label(ORDERS_DATES))
-    return splits.rolling_rows(df, splits.rolling_specs(120), SPLITS, ORDERS_DATES.as_of, {True: "y_legacy", False: "y"}, list(keep))
+    return splits.rolling_rows(df, ORIGINS, {True: "y", False: "y_legacy"}, list(keep))
 
 
 def _sql_split(name: str, s: str) -> str:
@@ -206,17 +207,15 @@ def rolling_split_sizes(t: Tables) -> DataFrame:
 def _fit_cells(t: Tables) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Design rows with one label and one training weight per (variant, split)."""
     df = scored(t).withColumn("y_legacy", labels.legacy_label(ORDERS_DATES))
-    specs = splits.rolling_specs(120)
-    cells = [(s, d) for s in specs for d in SPLITS]
     ys, ws, ts = [], [], []
-    for s, d in cells:
-        y = F.col("y_legacy" if s.horizon_days is None else "y")
-        train, test = s.masks(y, labels.at(d), ORDERS_DATES.as_of)
+    for o in ORIGINS:
+        y = F.col("y" if o.waits else "y_legacy")
+        train, test = o.masks(y)
         ys.append(F.coalesce(y.cast("double"), F.lit(0.0)))
         ws.append(F.coalesce(train, F.lit(False)).cast("double"))
         ts.append(F.coalesce(test, F.lit(False)))
     keyed = df.withColumns({"ys": F.array(*ys), "w": F.array(*ws), "in_test": F.array(*ts)})
-    return design_rows(keyed, ["lead_id", "ys", "w", "in_test"]), [(s.name, d) for s, d in cells]
+    return design_rows(keyed, ["lead_id", "ys", "w", "in_test"]), [(o.variant, o.split) for o in ORIGINS]
 
 
 def rolling_test_scores(t: Tables) -> DataFrame:
@@ -244,7 +243,8 @@ def rolling_headline(t: Tables) -> DataFrame:
     ok = splits.split_sizes(rolling_rows(t)).where("status = 'ok'").select("variant", "split")
     used = rows.join(ok, ["variant", "split"])
     point = metrics.auc(used, groups=["variant", "split"]).groupBy("variant").agg(F.avg("auc").alias("mean_auc"), F.count("*").alias("splits"))
-    samples = bootstrap.resampled_auc(used, ["p"], groups=["variant", "split"], resamples=200)
+    own = used.withColumn("draw_id", F.xxhash64("lead_id", "split"))  # splits draw independently
+    samples = bootstrap.resampled_auc(own, ["p"], key="draw_id", groups=["variant", "split"], resamples=RESAMPLES)
     means = samples.groupBy("variant", "resample").agg(F.avg("auc").alias("auc"))
     return point.join(bootstrap.interval(means, "auc", ["variant"]), "variant")
 
@@ -252,17 +252,20 @@ def rolling_headline(t: Tables) -> DataFrame:
 _WINDOWS = splits.decay_windows(["1999-10", "1999-12", "2000-02"])
 
 
+def _strict(split: str) -> tuple:
+    return splits.origin("strict", split, ORDERS_DATES.as_of, 120).masks(F.col("y"))
+
+
 @query("E15_decay_windows", " UNION ALL ".join(f"""
 SELECT '{m}' AS fit_month, '{e}' AS eval_month, count(*) FILTER (WHERE created_at < TIMESTAMP '{cut}' AND created_at + INTERVAL 120 DAY <= TIMESTAMP '{cut}') AS n_train,
   count(*) FILTER (WHERE strftime(created_at, '%Y-%m') = '{e}' AND created_at + INTERVAL 120 DAY <= {T_AS_OF}) AS n_eval FROM scored WHERE y IS NOT NULL"""
                                                           for m, cut, evals in _WINDOWS for e in evals))
 def decay_windows(t: Tables) -> DataFrame:
-    spec = splits.RollingSpec("strict", 120)
     cells = []
     for m, cut, evals in _WINDOWS:
-        train, _ = spec.masks(F.col("y"), labels.at(cut), ORDERS_DATES.as_of)
+        train, _ = _strict(cut)
         for e in evals:
-            _, test = spec.masks(F.col("y"), labels.at(f"{e}-01"), ORDERS_DATES.as_of)
+            _, test = _strict(f"{e}-01")
             cells.append(F.struct(F.lit(m).alias("fit_month"), F.lit(e).alias("eval_month"), train.alias("tr"), test.alias("te")))
     long = scored(t).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
     return long.groupBy("fit_month", "eval_month").agg(F.count_if("tr").alias("n_train"), F.count_if("te").alias("n_eval"))
@@ -271,8 +274,7 @@ def decay_windows(t: Tables) -> DataFrame:
 @query("E15_calibration_decay")
 def calibration_decay(t: Tables) -> DataFrame:
     """Models fitted through a month, their calibration on each of the next three months."""
-    spec = splits.RollingSpec("strict", 120)
-    masks = [spec.masks(F.col("y"), labels.at(cut), ORDERS_DATES.as_of)[0] for _, cut, _ in _WINDOWS]
+    masks = [_strict(cut)[0] for _, cut, _ in _WINDOWS]
     df = scored(t).where("y is not null").withColumn("w", F.array(*[m.cast("double") for m in masks]))
     rows = design_rows(df, ["lead_id", "y", "w", "created_at"]).persist()
     beta = fits.fit_many(rows, len(_WINDOWS), fits.column_weights())
@@ -280,7 +282,7 @@ def calibration_decay(t: Tables) -> DataFrame:
     cells = []
     for i, (m, _, evals) in enumerate(_WINDOWS):
         for e in evals:
-            _, test = spec.masks(F.col("y"), labels.at(f"{e}-01"), ORDERS_DATES.as_of)
+            _, test = _strict(f"{e}-01")
             cells.append(F.when(test & F.element_at("ps", i + 1).between(0, 1), F.struct(F.lit(f"{m} on {e}").alias("window"), F.element_at("ps", i + 1).alias("p"))))
     long = scored_rows.select("y", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("y", "c.*")
     return screens.calibration(long, "window")
@@ -398,11 +400,12 @@ def batch_scoring(t: Tables) -> DataFrame:
     return training.score_batch(t.leads(), t.companies(), model)
 
 
-@query("M12_level_problems", """
-SELECT 'band' AS feature, f_band AS level, count(*) AS n FROM scored WHERE f_band NOT IN ('1-10','missing') GROUP BY 2
-UNION ALL SELECT 'text', f_text, count(*) FROM scored WHERE f_text NOT IN ('neutral') GROUP BY 2""")
+@query("M12_level_problems", " UNION ALL ".join(f"""
+SELECT '{f}' AS feature, coalesce(f_{f}, '<null>') AS level, count(*) AS n FROM scored WHERE coalesce(f_{f}, '<null>') <> '{LEVELS[f][0]}' GROUP BY 2"""
+                                                for f in FEATURES))
 def level_problems(t: Tables) -> DataFrame:
-    return design.unknown_levels(scored(t), {"band": ("1-10", "missing"), "text": ("neutral",)})
+    """Against a specification that declares only the first level of every feature."""
+    return design.unknown_levels(scored(t), {f: LEVELS[f][:1] for f in FEATURES})
 
 
 @query("M13_context_models")
@@ -514,7 +517,7 @@ def customer_sized_holdout(t: Tables) -> DataFrame:
     beta = fits.fit_many(rows, draws, fits.column_weights())
     p = fits.score_many(rows, beta, ["lead_id", "y", "t"]).select("lead_id", "y", "t", F.posexplode("ps").alias("draw", "p")).where(
         F.element_at("t", F.col("draw") + 1))
-    samples = bootstrap.resampled_auc(p, ["p"], groups=["draw"], resamples=200)
+    samples = bootstrap.resampled_auc(p, ["p"], groups=["draw"], resamples=RESAMPLES)
     return bootstrap.interval(samples, "auc", ["draw"]).withColumn("width", F.col("hi") - F.col("lo"))
 
 
@@ -568,7 +571,7 @@ def generic_against_base(t: Tables) -> DataFrame:
         p = fits.score_many(wide.where("not is_train").select("lead_id", "y", fits.design_array(used)), beta, ["lead_id", "y"]).select(
             "lead_id", "y", F.element_at("ps", 1).alias(name))
         both = p if both is None else both.join(p.drop("y"), "lead_id")
-    summary = bootstrap.paired_summary(bootstrap.paired_differences(bootstrap.resampled_auc(both, ["base", "generic"], resamples=200), "base", "generic"))
+    summary = bootstrap.paired_summary(bootstrap.paired_differences(bootstrap.resampled_auc(both, ["base", "generic"], resamples=RESAMPLES), "base", "generic"))
     worst = screens.correlations(wide.where("is_train"), cols).agg(F.max(F.abs("r")))
     return summary.withColumn("max_abs_corr", worst.scalar()).withColumn("passed", (F.col("lo") > 0) & (F.col("max_abs_corr") <= 0.95))
 
@@ -578,9 +581,7 @@ SELECT round(quantile_cont(f, 0.025), 5) AS lo, round(quantile_cont(f, 0.975), 5
   SELECT (b.auc2 - b.auc1) / (o.auc - b.auc1) AS f FROM boot_auc b JOIN boot_oracle o USING (resample))""")
 def gap_recovered(t: Tables) -> DataFrame:
     """Share of the gap between a base score and an oracle that another score closes, on shared resamples."""
-    rows = test_rows(t).select("lead_id", "y", (F.col("p") + F.col("lead_id") * F.lit(1e-9)).alias("s1"),
-                               (F.col("value") + F.col("lead_id") * F.lit(1e-6)).alias("s2"),
-                               (F.col("y") * 0.3 + F.col("p") + F.col("lead_id") * F.lit(1e-9)).alias("s3"))
+    rows = boot_rows(t).withColumn("s3", F.col("y") * 0.3 + F.col("s1"))
     wide = bootstrap.resampled_auc(rows, ["s1", "s2", "s3"], resamples=RESAMPLES).groupBy("resample").pivot("model", ["s1", "s2", "s3"]).agg(F.first("auc"))
     f = wide.select(((F.col("s2") - F.col("s1")) / (F.col("s3") - F.col("s1"))).alias("f"))
     return f.agg(F.round(F.percentile("f", 0.025), 5).alias("lo"), F.round(F.percentile("f", 0.975), 5).alias("hi"), F.count("*").alias("resamples"))
@@ -588,7 +589,7 @@ def gap_recovered(t: Tables) -> DataFrame:
 
 view("boot_oracle", """SELECT resample, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM (
   SELECT resample, pos, neg, coalesce(sum(neg) OVER (PARTITION BY resample ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-  FROM (SELECT resample, y * 0.3::DOUBLE + s1 AS s, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM boot_weights GROUP BY ALL)) GROUP BY resample""")
+  FROM (SELECT resample, y * 0.3::DOUBLE + s1 AS s, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM boot_weights GROUP BY resample, s)) GROUP BY resample""")
 
 
 @query("E22_judgment_evaluation")
@@ -606,7 +607,7 @@ def judgment_evaluation(t: Tables) -> DataFrame:
         beta = fits.fit_many(rows, 5, fits.column_weights())
         p = fits.score_many(rows, beta, ["lead_id", "y", "fold"]).select("lead_id", "y", F.element_at("ps", F.col("fold") + 1).alias(name))
         both = p if both is None else both.join(p.drop("y"), "lead_id")
-    samples = bootstrap.resampled_auc(both, ["formula", "context"], resamples=200)
+    samples = bootstrap.resampled_auc(both, ["formula", "context"], resamples=RESAMPLES)
     return bootstrap.paired_summary(bootstrap.paired_differences(samples, "formula", "context"))
 
 

@@ -112,30 +112,30 @@ def predictions_with_truth(t: Tables) -> DataFrame:
 
 
 def _cards(t: Tables) -> DataFrame:
-    first = t.table("conversations").where("turn = 0")
+    messages = t.table("conversations")
     fields = judgments.card_fields(F.col("text"), [F.lit(None).cast("string"), F.col("role")], F.lit(" "),
                                    F.concat(F.lit("x@y@"), F.upper("role"), F.lit(".Example")))
-    return first.select("conv_id", *[v.alias(k) for k, v in fields.items()], judgments.card_text(fields).alias("card"))
+    return messages.select("conv_id", "turn", *[v.alias(k) for k, v in fields.items()], judgments.card_text(fields).alias("card"))
 
 
 view("cards", """
-SELECT conv_id, CASE WHEN trim(text, E' \\t\\n\\r') = '' OR text IS NULL THEN '(blank)' ELSE trim(text, E' \\t\\n\\r') END AS what_to_solve,
-  role AS company_typed, '(blank)' AS job_title, lower(role) || '.example' AS email_domain FROM conversations WHERE turn = 0""")
+SELECT conv_id, turn, CASE WHEN trim(text, E' \\t\\n\\r') = '' OR text IS NULL THEN '(blank)' ELSE trim(text, E' \\t\\n\\r') END AS what_to_solve,
+  role AS company_typed, '(blank)' AS job_title, lower(role) || '.example' AS email_domain FROM conversations""")
 view("hashed_cards", """
-SELECT conv_id, sha256('What they want to solve: ' || what_to_solve || chr(10) || 'Company typed: ' || company_typed || chr(10)
+SELECT conv_id, turn, sha256('What they want to solve: ' || what_to_solve || chr(10) || 'Company typed: ' || company_typed || chr(10)
   || 'Job title: ' || job_title || chr(10) || 'Email domain: ' || email_domain) AS card_hash FROM cards""")
 
 
-@query("F18_lead_card", "SELECT conv_id, what_to_solve, company_typed, job_title, email_domain FROM cards")
+@query("F18_lead_card", "SELECT conv_id, turn, what_to_solve, company_typed, job_title, email_domain FROM cards")
 def lead_card(t: Tables) -> DataFrame:
     return _cards(t).drop("card")
 
 
 @query("F17_card_hash", """
-SELECT conv_id, card_hash, sha256('["' || card_hash || '", "brief1", "v1"]') AS cache_key FROM hashed_cards""")
+SELECT conv_id, turn, card_hash, sha256('["' || card_hash || '", "brief1", "v1"]') AS cache_key FROM hashed_cards""")
 def card_hash(t: Tables) -> DataFrame:
     h = F.sha2("card", 256)
-    return _cards(t).select("conv_id", h.alias("card_hash"), judgments.cache_key([h, F.lit("brief1"), F.lit("v1")]).alias("cache_key"))
+    return _cards(t).select("conv_id", "turn", h.alias("card_hash"), judgments.cache_key([h, F.lit("brief1"), F.lit("v1")]).alias("cache_key"))
 
 
 @query("J13_cached_and_missing", """

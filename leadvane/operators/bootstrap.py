@@ -1,29 +1,44 @@
 """Bootstrap resampling of ranking metrics.
 
 Every row gets a Poisson(1) weight per resample from an arithmetic hash of its id, so results do not depend on
-partitioning and survive recomputation. Rows equal in all scores and the label are first merged into one bin with a
-Poisson(count) weight. Bins are range partitioned by score and folded in Arrow batches into at most three blocks per
-task (first tie, inner, last tie), each holding one number per resample; resamples are never multiplied into rows.
+partitioning and survive recomputation. Rows equal in all scores and the label are first merged into one bin, whose
+weight is the Poisson(count) quantile of one such hash, for every count. Bins are range partitioned by score and folded
+in Arrow batches into at most three blocks per task (first tie, inner, last tie), each holding one number per resample;
+resamples are never multiplied into rows. Blocks of neighbouring tasks are put together in levels of ``FAN_IN``.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 P = 2147483647
-MAX_EXACT_COUNT = 8
 DRAWS_PER_RESAMPLE = 16
 CI_LEVEL = 0.95
-# Poisson(1) cumulative probabilities scaled to the hash range: the weight is the number of cuts at or below the hash.
-_PMF = [np.exp(-1.0)]
-for _k in range(1, 9):
-    _PMF.append(_PMF[-1] / _k)
-POISSON_CUTS = [int(np.floor(c * P)) for c in np.cumsum(_PMF)]
+FAN_IN = 64
+
+
+@lru_cache(maxsize=4096)
+def poisson_cuts(count: int) -> tuple[int, np.ndarray]:
+    """(least weight, cuts): the Poisson(count) weight of a hash is the least weight plus the cuts at or below the hash.
+
+    Cuts are cumulative probabilities scaled to the hash range, over every weight that a hash can reach.
+    """
+    wide = 10 * math.sqrt(count) + 20
+    low = max(0, math.floor(count - wide))
+    logs = [k * math.log(count) - count - math.lgamma(k + 1) for k in range(low, math.ceil(count + wide) + 1)]
+    return low, np.floor(np.cumsum(np.exp(logs)) * P).astype(np.int64)
+
+
+POISSON_CUTS = [int(c) for c in poisson_cuts(1)[1] if c < P]
 _CHUNK = 1024
+_BLOCK = ["lo", "hi", "pos", "neg", "u", "tie"]
 
 
 def hash_ints(ids: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -34,16 +49,14 @@ def hash_ints(ids: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def poisson_weights(ids: np.ndarray, counts: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    """Weight of every bin in every resample: the sum of ``count`` Poisson(1) draws."""
+    """Weight of every bin in every resample: the Poisson(count) quantile of its hash."""
     ids, counts = np.asarray(ids, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     base = seed * 1_000_003 + np.arange(resamples, dtype=np.int64) * DRAWS_PER_RESAMPLE
     out = np.zeros((len(ids), resamples))
-    for j in range(int(min(counts.max(initial=0), MAX_EXACT_COUNT))):
-        rows = np.flatnonzero((counts > j) & (counts <= MAX_EXACT_COUNT))
-        if len(rows):
-            out[rows] += np.searchsorted(POISSON_CUTS, hash_ints(ids[rows], base + j), side="right")
-    for i in np.flatnonzero(counts > MAX_EXACT_COUNT):
-        out[i] = np.random.default_rng([seed, int(ids[i]) % P]).poisson(counts[i], resamples)
+    for count in np.unique(counts):
+        rows = np.flatnonzero(counts == count)
+        low, cuts = poisson_cuts(int(count))
+        out[rows] = low + np.searchsorted(cuts, hash_ints(ids[rows], base), side="right")
     return out
 
 
@@ -86,9 +99,10 @@ def _fold_partition(batches: Iterator[pd.DataFrame], by: list[str], resamples: i
     key, fold = None, None
 
     def emit() -> pd.DataFrame:
-        rows = [(*key, *b) for b in fold.blocks()]
-        return pd.DataFrame(rows, columns=[*by, "lo", "hi", "pos", "neg", "u", "tie"])
+        rows = [(*key, part_id, *b) for b in fold.blocks()]
+        return pd.DataFrame(rows, columns=[*by, "part", *_BLOCK])
 
+    part_id = TaskContext.get().partitionId()
     for pdf in batches:
         for k, part in pdf.groupby(by, sort=False):
             if k != key:
@@ -105,27 +119,42 @@ def _fold_partition(batches: Iterator[pd.DataFrame], by: list[str], resamples: i
         yield emit()
 
 
-def _combine(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
-    """All blocks of one (group, model) in score order: ties cut between tasks are merged, then U is summed."""
-    pdf = pdf.sort_values(["lo", "hi"], kind="stable")
-    below, u, wins, open_tie = 0.0, 0.0, 0.0, None
-    for lo, pos, neg, inner, tie in zip(pdf["lo"], pdf["pos"], pdf["neg"], pdf["u"], pdf["tie"]):
-        pos, neg = np.asarray(pos, dtype=float), np.asarray(neg, dtype=float)
-        if tie and open_tie is not None and open_tie[0] == lo:
-            open_tie = (lo, open_tie[1] + pos, open_tie[2] + neg)
-            continue
-        if open_tie is not None:
-            u, wins = u + open_tie[1] * (below + open_tie[2] / 2), wins + open_tie[1]
-            below, open_tie = below + open_tie[2], None
-        if tie:
-            open_tie = (lo, pos, neg)
+def _joined_ties(pdf: pd.DataFrame) -> list[tuple]:
+    """Blocks in score order; the pieces of a tie that tasks cut apart are one block again."""
+    out: list[tuple] = []
+    for lo, hi, pos, neg, u, tie in pdf.sort_values(["lo", "hi"], kind="stable")[_BLOCK].itertuples(index=False):
+        pos, neg, u = np.asarray(pos, dtype=float), np.asarray(neg, dtype=float), np.asarray(u, dtype=float)
+        if tie and out and out[-1][5] and out[-1][0] == lo:
+            pos, neg = out[-1][2] + pos, out[-1][3] + neg
+            out[-1] = (lo, hi, pos, neg, pos * neg / 2, True)
         else:
-            u, wins, below = u + pos * below + np.asarray(inner, dtype=float), wins + pos, below + neg
-    if open_tie is not None:
-        u, wins = u + open_tie[1] * (below + open_tie[2] / 2), wins + open_tie[1]
-        below = below + open_tie[2]
+            out.append((lo, hi, pos, neg, u, tie))
+    return out
+
+
+def _stacked(blocks: list[tuple]) -> tuple:
+    """Neighbouring blocks as one: wins, losses and the U statistic."""
+    wins, losses, total = 0.0, 0.0, 0.0
+    for _, _, pos, neg, u, _ in blocks:
+        total, wins, losses = total + pos * losses + u, wins + pos, losses + neg
+    return wins, losses, total
+
+
+def _merge(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """Blocks of ``FAN_IN`` neighbouring tasks as at most three; the outer ties stay open."""
+    blocks = _joined_ties(pdf)
+    inner = blocks[1:-1]
+    if inner:
+        blocks = [blocks[0], (inner[0][0], inner[-1][1], *_stacked(inner), False), blocks[-1]]
+    key = [pdf[c].iloc[0] for c in by]
+    return pd.DataFrame([(*key, pdf["part"].iloc[0] // FAN_IN, *b) for b in blocks], columns=[*by, "part", *_BLOCK])
+
+
+def _combine(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The AUC of every resample from the last level's blocks of one (group, model)."""
+    wins, losses, u = _stacked(_joined_ties(pdf))
     with np.errstate(divide="ignore", invalid="ignore"):
-        auc = np.where((wins > 0) & (below > 0), u / (wins * below), np.nan)
+        auc = np.where((wins > 0) & (losses > 0), u / (wins * losses), np.nan)
     out = pd.DataFrame({"resample": np.arange(len(auc)), "auc": auc})
     for c in by:
         out.insert(0, c, pdf[c].iloc[0])
@@ -151,8 +180,13 @@ def resampled_auc(df: DataFrame, scores: Sequence[str], y: str = "y", key: str =
     order = [*by, "score", "rep", "y"]
     ranged = long.repartitionByRange(*order).sortWithinPartitions(*order)
     fields = [f"`{c}` {t}" for c, t in ranged.dtypes if c in by]
-    arrays = "lo double, hi double, pos array<double>, neg array<double>, u array<double>, tie boolean"
+    arrays = "part bigint, lo double, hi double, pos array<double>, neg array<double>, u array<double>, tie boolean"
     blocks = ranged.mapInPandas(lambda it: _fold_partition(it, by, resamples, seed), ", ".join([*fields, arrays]))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # of the range partitioning, at most
+    while tasks > FAN_IN:
+        blocks = blocks.groupBy(*by, F.expr(f"part div {FAN_IN}").alias("_near")).applyInPandas(
+            lambda pdf: _merge(pdf, by), ", ".join([*fields, arrays]))
+        tasks = -(-tasks // FAN_IN)
     return blocks.groupBy(*by).applyInPandas(lambda pdf: _combine(pdf, by)[[*by, "resample", "auc"]],
                                              ", ".join([*fields, "resample bigint, auc double"]))
 

@@ -3,53 +3,76 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadvane.config import MIN_TEST_CLASS, MIN_TEST_LEADS
-from leadvane.operators.labels import at, plus_days
+from leadvane.operators.labels import at
 from leadvane.operators.ranking import hash_order, with_global_rank
 
 
+# fixed values: variant -> whether labels wait for the horizon, the moment training rows must be mature at, months tested
+VARIANTS = {
+    "strict": (True, "split", 1),
+    "relaxed": (True, "as_of", 1),
+    "legacy window": (False, None, 1),
+    "legacy to end": (False, None, None),
+}
+
+
+@dataclass(frozen=True)
+class Span:
+    """Creation times from ``start``, before ``end`` and not after ``last``; an absent bound is open."""
+
+    start: str | None = None
+    end: str | None = None
+    last: str | None = None
+
+    def holds(self) -> Column:
+        created = F.col("created_at")
+        bounds = ((self.start, created.__ge__), (self.end, created.__lt__), (self.last, created.__le__))
+        return reduce(Column.__and__, [test(at(moment)) for moment, test in bounds if moment is not None], created.isNotNull())
+
+
 @dataclass(frozen=True)
-class RollingSpec:
-    """A rolling-origin variant: horizon (None = legacy labels), training maturity rule, test window in months."""
-
-    name: str
-    horizon_days: int | None
-    strict: bool = True
-    window_months: int | None = 1
-
-    def masks(self, y: Column, split: Column, as_of: str) -> tuple[Column, Column]:
-        """(train, test) conditions of a row at a split date."""
-        created, labelled = F.col("created_at"), y.isNotNull()
-        before, inside = created < split, created >= split
-        if self.window_months is not None:
-            inside = inside & (created < F.add_months(split, self.window_months).cast("timestamp"))
-        if self.horizon_days is None:
-            return labelled & before, labelled & inside
-        mature_now = plus_days(created, self.horizon_days) <= at(as_of)
-        mature_then = plus_days(created, self.horizon_days) <= split
-        return labelled & before & (mature_then if self.strict else mature_now), labelled & inside & mature_now
-
-
-def rolling_specs(horizon_days: int) -> tuple[RollingSpec, ...]:
-    return (RollingSpec("strict", horizon_days), RollingSpec("relaxed", horizon_days, strict=False),
-            RollingSpec("legacy window", None), RollingSpec("legacy to end", None, window_months=None))
-
-
-def rolling_rows(df: DataFrame, specs: Sequence[RollingSpec], splits: Sequence[str], as_of: str,
-                 y: dict[bool, str], keep: Sequence[str]) -> DataFrame:
-    """Rows of every (variant, split) they train or test in, in one scan; ``y[is_legacy]`` names the label column."""
+class Origin:
+    """One row of the window table: a variant at a split date with the spans of its training and test rows."""
+
+    variant: str
+    split: str
+    waits: bool
+    train: Span
+    test: Span
+
+    def masks(self, y: Column) -> tuple[Column, Column]:
+        """(train, test) conditions of a row with label ``y``."""
+        return y.isNotNull() & self.train.holds(), y.isNotNull() & self.test.holds()
+
+
+def origin(variant: str, split: str, as_of: str, horizon_days: int) -> Origin:
+    waits, mature_at, months = VARIANTS[variant]
+    # the last creation time that is mature at a moment
+    last = {k: str(pd.Timestamp(v) - pd.Timedelta(days=horizon_days)) for k, v in (("split", split), ("as_of", as_of))}
+    end = None if months is None else str(pd.Timestamp(split) + pd.DateOffset(months=months))
+    return Origin(variant, split, waits, Span(end=split, last=last.get(mature_at)), Span(split, end, last["as_of"] if waits else None))
+
+
+def origins(splits: Sequence[str], as_of: str, horizon_days: int) -> list[Origin]:
+    return [origin(v, s, as_of, horizon_days) for v in VARIANTS for s in splits]
+
+
+def rolling_rows(df: DataFrame, windows: Sequence[Origin], y: dict[bool, str], keep: Sequence[str]) -> DataFrame:
+    """Rows of every (variant, split) they train or test in, in one scan; ``y[waits]`` names the label column."""
     cells = []
-    for s in specs:
-        label = F.col(y[s.horizon_days is None])
-        for split in splits:
-            train, test = s.masks(label, at(split), as_of)
-            cells.append(F.struct(F.lit(s.name).alias("variant"), F.lit(split).alias("split"), train.alias("is_train"),
-                                  test.alias("is_test"), label.alias("y")))
+    for o in windows:
+        label = F.col(y[o.waits])
+        train, test = o.masks(label)
+        cells.append(F.struct(F.lit(o.variant).alias("variant"), F.lit(o.split).alias("split"), train.alias("is_train"),
+                              test.alias("is_test"), label.alias("y")))
     used = F.filter(F.array(*cells), lambda c: c["is_train"] | c["is_test"])
     return df.select(*keep, F.explode(used).alias("c")).select(*keep, "c.*")
 

@@ -166,3 +166,28 @@ def test_the_anchor_is_the_median_of_capped_values(spark):
     ref = spark.createDataFrame([(1.0,), (3.0,)], "v double")
     fitted = fit_transforms(ref, "v", [ValueTransform()])[0]
     assert abs(fitted.anchor - 1.97) < 1e-9
+
+
+def test_weights_follow_one_rule_for_every_count():
+    counts = np.repeat([1, 8, 9, 2000], 500)
+    w = bootstrap.poisson_weights(np.arange(2000), counts, 60, 0)
+    for c in (1, 8, 9, 2000):
+        part = w[counts == c] / c
+        assert abs(part.mean() - 1) < 0.02 and abs(part.var() * c - 1) < 0.05
+    # a larger count never weighs less on the same hash
+    same = np.stack([bootstrap.poisson_weights(np.arange(50), np.full(50, c), 60, 0) for c in (1, 2, 8, 9, 10, 40)])
+    assert (np.diff(same, axis=0) >= 0).all()
+
+
+def test_levels_of_blocks_do_not_change_the_result(data, monkeypatch):
+    df, y, s, _ = data
+    want = [r["auc"] for r in bootstrap.resampled_auc(df, ["p"], resamples=12).orderBy("resample").collect()]
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(bootstrap, "FAN_IN", 3)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = [r["auc"] for r in bootstrap.resampled_auc(df, ["p"], resamples=12).orderBy("resample").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert np.allclose(got, want)
