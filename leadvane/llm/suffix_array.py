@@ -2,10 +2,11 @@
 
 Only suffixes at content-selected minimisers are kept: of any ``min_words`` equal words, the same suffix start lies within
 the first ``width`` words in both places, with at least ``min_words - width + 1`` equal words behind it. Starts whose next
-words occur in one document alone cannot be in a repeat and leave first. The other suffixes are sorted through a range
-partitioning on their words, and each is compared with its neighbours of other documents: the common words to the right,
-then those to the left of the start. A neighbour across a partition border is compared in a second step that holds two
-rows for each partition. Words are compared by 32-bit codes.
+words occur in one document alone cannot be in a repeat and leave first. Of the others, those whose whole context (up to
+``width - 1`` words before and ``min_words`` behind) another document holds are repeated as far as it goes. Around the rest,
+every run of ``min_words`` words that holds the start is looked up among those of all contexts with the same next words. So
+a start meets every partner, not its neighbours in an order alone, and no result depends on partitions. Contexts and runs
+are compared by two 64-bit hashes.
 """
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +40,10 @@ def _parted(docs: DataFrame) -> DataFrame:
 
 
 def _starts(docs: DataFrame, spec: SuffixSpec) -> DataFrame:
-    """prefix (hash of the next words), doc_id, part, pos of each kept suffix; one row with null prefix has pos = words."""
+    """prefix (hash of the next words), doc_id, part, pos of each kept suffix; one row with null prefix has pos = words.
+
+    A suffix also has its context: another hash of all words that a repeat around it can compare, ``before`` and ``after`` it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts = batch.column(0), batch.column(1).to_numpy()
@@ -52,113 +56,71 @@ def _starts(docs: DataFrame, spec: SuffixSpec) -> DataFrame:
                     grams = np.arange(len(word) - spec.gram + 1)
                     pos = np.unique(W.selected(W.run_hash(word, grams, grams + spec.gram), spec.width)[at])
                     text = np.searchsorted(first, pos, side="right") - 1
-                    fits = pos + spec.right <= first[1:][text]
+                    fits = (pos + spec.right <= first[1:][text]) & (np.diff(first)[text] >= spec.min_words)
                     pos, text = pos[fits], text[fits]
                 prefix = W.run_hash(word, pos, pos + spec.right)
+                before = np.minimum(pos - first[text[:len(pos)]], spec.width - 1)
+                after = np.minimum(first[1:][text[:len(pos)]] - pos, spec.min_words)
+                context = W.mix(W.run_hash(W.mix(~word), pos - before, pos + after) + before.astype(W.U))
+                no = pa.nulls(j - i, pa.int32())
                 rows = np.concatenate([text[:len(pos)], np.arange(j - i)]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.concat_arrays([W.longs(prefix), pa.nulls(j - i, pa.int64())]), ids.slice(i, j - i).take(pa.array(rows)), pa.array(parts[i:j][rows]),
-                     pa.array(np.concatenate([pos - first[text[:len(pos)]], np.diff(first)]).astype(np.int32))], names=["prefix", "doc_id", "part", "pos"])
-    return _parted(docs).mapInArrow(run, "prefix long, doc_id long, part long, pos int")
+                     pa.array(np.concatenate([pos - first[text[:len(pos)]], np.diff(first)]).astype(np.int32)), pa.concat_arrays([W.longs(context), pa.nulls(j - i, pa.int64())]),
+                     pa.concat_arrays([pa.array(before.astype(np.int32)), no]), pa.concat_arrays([pa.array(after.astype(np.int32)), no])], names=["prefix", "doc_id", "part", "pos", "context", "before", "after"])
+    return _parted(docs).mapInArrow(run, "prefix long, doc_id long, part long, pos int, context long, before int, after int")
 
 
-def _contexts(docs: DataFrame, starts: DataFrame, spec: SuffixSpec) -> DataFrame:
-    """right (codes of the next words), left (codes before, nearest first), doc_id, part, pos of the given suffix starts."""
+def _windows(docs: DataFrame, starts: DataFrame, spec: SuffixSpec) -> DataFrame:
+    """doc_id, part, pos, d0, d1 of the given suffix starts, each with windows: two hashes of every ``min_words`` words that begin
+    ``back`` (less than ``width``) words before the start."""
+    back = np.arange(spec.width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j, data, off in W.chunks(batch.column(2)):
                 start, end, first = W.split(data, off)
-                code = (W.word_hashes(data, start, end) >> np.uint64(32)).astype(">u4")
+                word = W.word_hashes(data, start, end)
                 lists = batch.column(3).slice(i, j - i)
                 text = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
-                pos = lists.flatten().to_numpy().astype(np.int64)
-                right, left = [], []
-                for p, a, b in zip((pos + first[text]).tolist(), first[text].tolist(), first[text + 1].tolist()):
-                    right.append(code[p:min(b, p + spec.min_words)].tobytes())
-                    left.append(code[max(a, p - spec.width + 1):p][::-1].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(ids[i:j][text]), pa.array(parts[i:j][text]), pa.array(pos.astype(np.int32))],
-                                                 names=["right", "left", "doc_id", "part", "pos"])
-    lists = starts.groupBy("doc_id", "part").agg(F.collect_list("pos").alias("starts"))
+                low, high, near = (pa.compute.struct_field(lists.flatten(), f) for f in ("d0", "d1", "pos"))
+                pos = near.to_numpy().astype(np.int64)
+                begin = (pos + first[text])[:, None] - back
+                inside = (begin >= first[text][:, None]) & (begin + spec.min_words <= first[text + 1][:, None])
+                at = begin[inside]
+                n = np.concatenate([[0], np.cumsum(inside.sum(axis=1))]).astype(np.int32)
+                two = [W.longs(W.run_hash(x, at, at + spec.min_words)) for x in (word, W.mix(~word))]
+                cells = pa.StructArray.from_arrays([pa.array(np.nonzero(inside)[1].astype(np.int32)), *two], names=["back", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text]), pa.array(parts[i:j][text]), pa.array(pos.astype(np.int32)), low, high, pa.ListArray.from_arrays(pa.array(n), cells)],
+                                                 names=["doc_id", "part", "pos", "d0", "d1", "windows"])
+    lists = starts.groupBy("doc_id", "part").agg(F.collect_list(F.struct("pos", "d0", "d1")).alias("starts"))
     rows = _parted(docs).join(lists.hint("shuffle_hash"), ["doc_id", "part"])
-    return rows.select("doc_id", "part", "text", "starts").mapInArrow(run, "right binary, left binary, doc_id long, part long, pos int")
-
-
-def _padded(values: list[bytes], width: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(v) // 4 for v in values], np.int64)
-    return np.frombuffer(b"".join(v.ljust(4 * width, b"\0") for v in values), ">u4").reshape(len(values), width), n
-
-
-def _common(codes: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    differ = np.column_stack([codes[x] != codes[y], np.ones(len(x), bool)])
-    return np.minimum(differ.argmax(axis=1), np.minimum(n[x], n[y]))
-
-
-def _neighbours(spec: SuffixSpec, borders: bool):
-    """Compare sorted suffixes; gives the spans of repeats, and with ``borders`` also the partition's first and last row."""
-    names = ["right", "left", "doc_id", "part", "pos", "n", "pid"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        pid, seen = TaskContext.get().partitionId(), None
-
-        def spans(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            doc = t.column("doc_id").to_numpy()
-            cut = np.flatnonzero(doc[1:] != doc[:-1]) + 1
-            if not len(cut):
-                return
-            right, n_right = _padded(t.column("right").to_pylist(), spec.min_words, 0)
-            left, n_left = _padded(t.column("left").to_pylist(), spec.width - 1, 0)
-            run_of = np.searchsorted(cut, np.arange(len(doc)), side="right")
-            first, last = np.concatenate([[0], cut]), np.concatenate([cut - 1, [len(doc) - 1]])
-            rows = np.arange(len(doc))
-            x = np.concatenate([rows[run_of > 0], rows[run_of < len(cut)]])
-            y = np.concatenate([last[run_of[run_of > 0] - 1], first[run_of[run_of < len(cut)] + 1]])
-            r, m = _common(right, n_right, x, y), _common(left, n_left, x, y)
-            ok = (r >= spec.right) & (r + m >= spec.min_words)
-            x, r, m = x[ok], r[ok], m[ok]
-            part, pos = t.column("part").to_numpy()[x], t.column("pos").to_numpy()[x] - m
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.binary()), pa.array(doc[x]), pa.array(part), pa.array(pos.astype(np.int32)),
-                                                  pa.array((r + m).astype(np.int32)), pa.nulls(len(x), pa.int32())], names=names)
-
-        def border(t: pa.Table) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in names[:5]), pa.array([0], pa.int32()), pa.array([pid], pa.int32())], names=names)
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch]).select(names[:5])
-            if not t.num_rows:
-                continue
-            if seen is None and borders:
-                yield border(t.slice(0, 1))
-            seen = t.slice(t.num_rows - 1)
-            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
-            yield from spans(t)
-            doc = t.column("doc_id").to_numpy()
-            other = np.flatnonzero(doc != doc[-1])
-            held = t.slice(int(other[-1]) if len(other) else 0)
-        if seen is not None and borders:
-            yield border(seen)
-    return run
+    return rows.select("doc_id", "part", "text", "starts").mapInArrow(run, "doc_id long, part long, pos int, d0 long, d1 long, windows array<struct<back:int,a:long,b:long>>")
 
 
 def repeated_passages(docs: DataFrame, spec: SuffixSpec = SuffixSpec()) -> DataFrame:
     """doc_id, n_words, n_repeated, spans array<struct<start,stop>>: words inside passages that another document holds too.
 
     Words are parted by blanks and compared unchanged. Every span is part of a passage of at least ``min_words`` words in
-    two documents. A passage of ``min_words + width - 1`` words is always found; a shorter one too, unless a third text
-    agrees longer to its right and less to its left. A null or empty text has no words. Rows that repeat a doc_id are one
+    two documents, and every such passage is found. A null or empty text has no words. Rows that repeat a doc_id are one
     document; rows without one take no part. Other columns are ignored. An empty table gives no rows.
     """
     starts = written(_starts(docs, spec), "suffix-starts")
-    around = Window.partitionBy("prefix")
-    met = starts.where(F.col("prefix").isNotNull() & F.col("doc_id").isNotNull()).withColumn("d0", F.min("doc_id").over(around)).withColumn("d1", F.max("doc_id").over(around))
-    contexts = written(_contexts(docs, met.where("d0 <> d1").select("doc_id", "part", "pos"), spec), "suffixes")
-    order = ["right", "left", "doc_id", "part", "pos"]
-    fields = "right binary, left binary, doc_id long, part long, pos int, n int, pid int"
-    compared = written(contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(spec, True), fields), "neighbours")
-    across = compared.where("pid IS NOT NULL").coalesce(1).sortWithinPartitions("pid", *order).mapInArrow(_neighbours(spec, False), fields)
-    spans = compared.where("pid IS NULL").union(across).select("doc_id", "part", F.col("pos").alias("start"), (F.col("pos") + F.col("n")).alias("stop")).distinct()
+    prefix, context = Window.partitionBy("prefix"), Window.partitionBy("prefix", "context")
+    met = starts.where(F.col("prefix").isNotNull() & F.col("doc_id").isNotNull())
+    met = met.withColumn("p0", F.min("doc_id").over(prefix)).withColumn("p1", F.max("doc_id").over(prefix)).where("p0 <> p1")
+    met = met.withColumn("d0", F.min("doc_id").over(context)).withColumn("d1", F.max("doc_id").over(context))
+    met = met.withColumn("nth", F.row_number().over(context.orderBy("doc_id", "part", "pos"))).withColumn("open", F.max(F.expr("d0 = d1")).over(prefix))
+    met = written(met.select("doc_id", "part", "pos", "before", "after", "d0", "d1", F.expr("d0 = d1 OR open AND nth = 1").alias("asked")), "suffixes")
+    # a context that two documents hold is repeated as a whole; the others meet one start of every context by their windows
+    whole = met.where("d0 <> d1").select("doc_id", "part", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))
+    near = written(_windows(docs, met.where("asked").select("doc_id", "part", "pos", "d0", "d1"), spec), "suffix-windows")
+    near = near.select("doc_id", "part", "pos", "d0", "d1", F.inline("windows"))
+    shared = near.groupBy("a", "b").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1")).where("d0 <> d1").select("a", "b")
+    spans = near.where("d0 = d1").join(shared, ["a", "b"], "left_semi").groupBy("doc_id", "part", "pos").agg(F.max("back").alias("far"), F.min("back").alias("close"))
+    # all windows of a start hold the start, so those that repeat cover one stretch
+    spans = spans.select("doc_id", "part", (F.col("pos") - F.col("far")).alias("start"), (F.col("pos") - F.col("close") + spec.min_words).alias("stop")).union(whole).distinct()
 
     before = Window.partitionBy("doc_id", "part").orderBy("start", "stop")
     spans = spans.withColumn("seen", F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1)))

@@ -112,6 +112,28 @@ def test_suffixes_find_a_passage_of_51_words(spark):
     assert got == {i: 51 if i % 3 == 0 else 0 for i in range(12)}
 
 
+def repeated_words(rows, size):
+    """Words of each document inside a run of ``size`` words that another document holds."""
+    words, holders = {i: WORD.findall(t) for i, t in rows}, defaultdict(set)
+    for i, w in words.items():
+        for p in range(len(w) - size + 1):
+            holders[tuple(w[p:p + size])].add(i)
+    return {i: {q for p in range(len(w) - size + 1) if len(holders[tuple(w[p:p + size])]) > 1 for q in range(p, p + size)} for i, w in words.items()}
+
+
+def test_suffixes_meet_every_partner_of_overlapping_excerpts(spark):
+    """A = x P q, B = P, D = (last 40 words of P) q: the longest neighbour of a start is not the one that repeats it."""
+    rng, rows = random.Random(7), []
+    for case in range(60):
+        fresh = lambda n: [f"{case}v{rng.randrange(10 ** 9)}" for _ in range(n)]
+        passage, tail = fresh(55), fresh(40)
+        for text in (fresh(20) + passage + tail, passage, passage[-40:] + tail):
+            rows.append((len(rows), " ".join(text)))
+    want = repeated_words(rows, 50)
+    got = suffix_array.repeated_passages(frame(spark, rows)).collect()
+    assert {r.doc_id: {q for s in r.spans for q in range(s.start, s.stop)} for r in got} == want
+
+
 TERM = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
