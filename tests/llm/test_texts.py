@@ -134,6 +134,26 @@ def test_suffixes_meet_every_partner_of_overlapping_excerpts(spark):
     assert {r.doc_id: {q for s in r.spans for q in range(s.start, s.stop)} for r in got} == want
 
 
+def test_suffixes_do_not_depend_on_partitions(spark):
+    """A document that repeats a passage inside itself, cut at borders, against a single copy elsewhere."""
+    rng, rows = random.Random(9), []
+    for case in range(12):
+        fresh = lambda n: [f"{case}v{rng.randrange(10 ** 9)}" for _ in range(n)]
+        passage = fresh(51)
+        rows += [(2 * case, " ".join(sum([passage + fresh(7) for _ in range(40)], []))), (2 * case + 1, " ".join(fresh(9) + passage))]
+    want, table = repeated_words(rows, 50), frame(spark, rows)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = suffix_array.repeated_passages(table).collect()
+            assert {r.doc_id: {q for s in r.spans for q in range(s.start, s.stop)} for r in got} == want, n
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 TERM = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
