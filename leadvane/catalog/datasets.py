@@ -320,6 +320,12 @@ def fill_gaps(t: Tables) -> DataFrame:
     return converted(t)["fill_gaps"].where(F.col("source").isin("orders.mail", "feature:total", "orders.priority")).drop("target")
 
 
+@query("Q13_fill_gaps_all")
+def fill_gaps_all(t: Tables) -> DataFrame:
+    """The gap of every mapped source."""
+    return converted(t)["fill_gaps"]
+
+
 @query("C14_new_leads", f"""
 SELECT 'new-' || substr(lead_id, 8) AS lead_id, {_SOURCE} AS utm_source, c_acctbal AS x_balance FROM foreign_base JOIN customer ON c_custkey = o_custkey WHERE priority <> '5-LOW'""")
 def new_leads(t: Tables) -> DataFrame:
@@ -567,6 +573,17 @@ def streamed_wins(t: Tables) -> DataFrame:
     return t.spark.read.schema("lead_id bigint, stage string, value double").parquet(f"{root}/out").where("stage = 'won'").select("lead_id", "value")
 
 
+@query("R3_streamed_close_events")
+def streamed_close_events(t: Tables) -> DataFrame:
+    """Wins and matured leads from every event; all of them arrive in one file set, so the delay of a day loses none."""
+    rows = t.event_stages().select("lead_id", "stage", "deal_value", "changed_at")
+    root = scratch(t)
+    rows.repartition(2, "lead_id").write.parquet(f"{root}/in")
+    stream = jobs.file_stream(t.spark, f"{root}/in", rows.schema, files_per_trigger=2)
+    jobs.run_to_end(jobs.close_events(stream, 1.0, "1 day"), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    return t.spark.read.schema(jobs.CLOSE_OUTPUT).parquet(f"{root}/out")
+
+
 @query("R4_idempotent_ledger", "SELECT DISTINCT l_orderkey AS lead_id, l_returnflag AS stage FROM lineitem")
 def idempotent_ledger(t: Tables) -> DataFrame:
     rows = t.table("lineitem").select(F.col("l_orderkey").alias("lead_id"), F.col("l_returnflag").alias("stage"))

@@ -364,8 +364,8 @@ def penalty_sweep(t: Tables) -> DataFrame:
 
 @query("M8_boosted_trees")
 def boosted_trees(t: Tables) -> DataFrame:
-    cols = [f"o_{f}" for f in ("band", "spend", "time_on_page", "seniority", "channel", "text", "sessions_3plus", "viewed_pricing")]
-    df = features.ordinal_features(scored(t), tuple(c[2:] for c in cols))
+    cols = [f"o_{f}" for f in FEATURES]
+    df = features.ordinal_features(scored(t), FEATURES)
     model = models.fit_boosted_trees(df.where("is_train"), cols)
     filled = df.where("is_test").select("lead_id", "y", *[F.coalesce(F.col(c), F.lit(-1.0)).alias(c) for c in cols])
     p = model.transform(design.with_vector(filled, cols)).select("lead_id", "y", vector_to_array("probability")[1].alias("p"))
@@ -454,7 +454,7 @@ def starting_points_and_movers(t: Tables) -> DataFrame:
 
 @query("E8_coefficient_bootstrap")
 def coefficient_bootstrap(t: Tables) -> DataFrame:
-    return coefficient_intervals(t, 100)
+    return coefficient_intervals(t, RESAMPLES)
 
 
 def coefficient_intervals(t: Tables, resamples: int) -> DataFrame:
@@ -480,30 +480,34 @@ def resample_weights(t: Tables) -> DataFrame:
 @query("E18_feature_selection")
 def feature_selection(t: Tables) -> DataFrame:
     """A feature is kept when the interval of any of its levels excludes zero."""
-    ci = coefficient_intervals(t, 100).where("column <> '(intercept)'")
+    ci = coefficient_intervals(t, RESAMPLES).where("column <> '(intercept)'")
     clear = (F.col("lo") > 0) | (F.col("hi") < 0)
     return ci.groupBy(F.split("column", "=", 2)[0].alias("feature")).agg(F.max(clear.cast("int")).alias("keep"), F.count("*").alias("levels"))
 
 
 @query("E16_subsampling_curve")
 def subsampling_curve(t: Tables) -> DataFrame:
-    """Test AUC by training size over seeds; every (size, seed) fit shares one pass per iteration."""
-    sizes, seeds = (300, 500, 1000), tuple(range(10))
+    """Test AUC of the formula by training size over seeds, and once of the full pool; every fit shares one pass per iteration.
+
+    A size above the pool has no row.
+    """
+    sizes, seeds = (300, 500, 1000, 2000, 3000), tuple(range(20))
     pool = scored(t).where("is_train")
     cuts = splits.hash_cuts(pool, "lead_id", sizes, seeds)
     cells = sorted(cuts)
-    w = F.array(*[(ranking.hash_order(F.col("lead_id"), s) <= F.lit(cuts[n, s])).cast("double") for n, s in cells])
+    w = F.array(*[(ranking.hash_order(F.col("lead_id"), s) <= F.lit(cuts[n, s])).cast("double") for n, s in cells], F.lit(1.0))
+    cells.append((pool.count(), 0))
     beta = fits.fit_many(design_rows(pool.withColumn("w", w), ["lead_id", "y", "w"]), len(cells), fits.column_weights())
     p = fits.score_many(design_rows(test_rows(t), ["lead_id", "y"]), beta, ["lead_id", "y"]).select("y", F.posexplode("ps").alias("k", "p"))
     size = F.element_at(F.array(*[F.lit(n) for n, _ in cells]), F.col("k") + 1)
-    auc = metrics.auc(p, groups=["k"]).withColumn("size", size)
-    return auc.groupBy("size").agg(F.count("*").alias("seeds"), F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("sd_auc"))
+    auc = metrics.auc(p, groups=["k"]).withColumn("size", size).withColumn("full", F.col("k") == len(cells) - 1)
+    return auc.groupBy("size", "full").agg(F.count("*").alias("seeds"), F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("sd_auc"))
 
 
 @query("E17_customer_sized_holdout")
 def customer_sized_holdout(t: Tables) -> DataFrame:
     """Interval width on the latest fifth of customer-sized samples: draws are masks over one design."""
-    draws, n = 5, 1000
+    draws, n = 20, 2000
     pool = scored(t).where("is_train or is_test")
     each = F.explode(F.array(*[F.lit(d).cast("bigint") for d in range(draws)]))
     sample = ranking.sample_exact(pool.select("lead_id", "created_at", each.alias("draw")), "lead_id", F.lit(n), F.col("draw"), ["draw"])
@@ -555,12 +559,19 @@ def leakage_screen(t: Tables) -> DataFrame:
                       F.round("missing_open", 6).alias("missing_open"), "missingness_flag")
 
 
+@query("E19_leakage_screen_all")
+def leakage_screen_all(t: Tables) -> DataFrame:
+    """The screen of every declared extra, numeric ones by their bins."""
+    rows = with_extras(t)
+    encoder = extras.fit_encoder(DECLARED, rows.where("is_train"))
+    return screens.leakage_screen(extras.encode(rows, encoder), [f.extra.column for f in encoder])
+
+
 @query("E20_generic_against_base")
 def generic_against_base(t: Tables) -> DataFrame:
     """Paired AUC of the base design with and without the extras, and the collinearity verdict of the larger one."""
     rows = scored(t).where("is_train or is_test").join(extras_table(t), "lead_id")
-    chosen = [DECLARED[0], DECLARED[2]]
-    encoder = extras.fit_encoder(chosen, rows.where("is_train"))
+    encoder = extras.fit_encoder(DECLARED, rows.where("is_train"))
     refs, levels = {**V2_REFERENCES, **extras.references(encoder)}, {**LEVELS, **extras.levels(encoder)}
     cols = design_columns(refs, levels)
     wide = design.wide_design(extras.encode(rows, encoder), refs, levels, keep=["lead_id", "y", "is_train"]).persist()

@@ -14,7 +14,7 @@ from leadvane.config import BEHAVIOURAL_FEATURES, DAYS_PER_MONTH, LEVELS
 from leadvane.functions import text
 from leadvane.operators import (cleaning, design, judgments, labels, quality, ranking, similarity, summaries, value)
 from leadvane.schemas import LEAD_COLUMNS
-from leadvane.sources.bindings import Tables
+from leadvane.sources.bindings import _LEAD, Tables
 
 
 # ---- joins ----
@@ -539,12 +539,25 @@ _A22 = ("company_name", "company_domain", "phone", "gclid", "li_fat_id", "utm_te
 SELECT '{c}' AS "column", round(avg(({c} IS NOT NULL)::INT) FILTER (WHERE final_stage = 'Won'), 6) AS won_filled,
   round(avg(({c} IS NOT NULL)::INT) FILTER (WHERE final_stage = 'Lost'), 6) AS lost_filled FROM cleaned""" for c in _A22))
 def fill_shares_by_outcome(t: Tables) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().cast("double").alias("has")) for c in _A22])
+    return _fill_shares(t, _A22)
+
+
+def _fill_shares(t: Tables, columns: tuple[str, ...]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().cast("double").alias("has")) for c in columns])
     long = cleaned(t).select("final_stage", F.explode(cells).alias("c")).select("final_stage", "c.*")
     return long.groupBy("column").agg(F.round(F.avg(F.when(F.col("final_stage") == "Won", F.col("has"))), 6).alias("won_filled"),
                                       F.round(F.avg(F.when(F.col("final_stage") == "Lost", F.col("has"))), 6).alias("lost_filled"))
 
 
+_A22_ALL = tuple(c for c in _LEAD if c != "lead_id")
+
+
+@query("A22_fill_shares_all")
+def fill_shares_all(t: Tables) -> DataFrame:
+    """The shares of every lead column."""
+    return _fill_shares(t, _A22_ALL)
+
+
 @query("A23_cleaning_view", f"""
 SELECT (SELECT count(*) FROM flagged) AS n_rows, (SELECT round(avg(bot::INT), 6) FROM flagged) AS bot_share,
   (SELECT round(avg((dup AND NOT bot)::INT), 6) FROM flagged) AS dup_share, count(*) AS kept, count(y_legacy) AS labelled_n,
