@@ -236,6 +236,39 @@ def paired_auc_difference(t: Tables) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in ("lo", "hi", "p_value")])
 
 
+# the same on the scores themselves, to the digits in which both engines agree
+view("exact_rows", "SELECT lead_id, y, round(p, 9) AS s1, round(value, 6) AS s2 FROM test_rows")
+weight_views("exact_one", "SELECT y, s1, min(lead_id) AS rep, count(*) AS c FROM exact_rows GROUP BY y, s1")
+weight_views("exact", "SELECT y, s1, s2, min(lead_id) AS rep, count(*) AS c FROM exact_rows GROUP BY y, s1, s2")
+view("exact_one_auc", sql_weighted_auc("s1", "exact_one_weights"))
+view("exact_auc", f"SELECT a.resample, a.auc AS auc1, b.auc AS auc2 FROM ({sql_weighted_auc('s1', 'exact_weights')}) a JOIN ({sql_weighted_auc('s2', 'exact_weights')}) b USING (resample)")
+
+
+def exact_rows(t: Tables) -> DataFrame:
+    return test_rows(t).select("lead_id", "y", F.round("p", 9).alias("s1"), F.round("value", 6).alias("s2"))
+
+
+@query("E6_exact_auc_interval", """
+SELECT round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi, count(*) AS resamples FROM exact_one_auc""")
+def exact_auc_interval(t: Tables) -> DataFrame:
+    samples = bootstrap.resampled_auc(exact_rows(t), ["s1"], resamples=RESAMPLES)
+    return samples.agg(F.round(F.percentile("auc", 0.025), 6).alias("lo"), F.round(F.percentile("auc", 0.975), 6).alias("hi"), F.count("*").alias("resamples"))
+
+
+@query("E6_exact_samples", "SELECT 's1' AS model, resample, round(auc, 6) AS auc FROM exact_one_auc")
+def exact_samples(t: Tables) -> DataFrame:
+    return bootstrap.resampled_auc(exact_rows(t), ["s1"], resamples=RESAMPLES).withColumn("auc", F.round("auc", 6))
+
+
+@query("E7_exact_auc_difference", """
+SELECT round(quantile_cont(auc2 - auc1, 0.025), 6) AS lo, round(quantile_cont(auc2 - auc1, 0.975), 6) AS hi,
+  round(least(1.0::DOUBLE, 2 * least(avg((auc2 - auc1 <= 0)::INT), avg((auc2 - auc1 >= 0)::INT))), 6) AS p_value FROM exact_auc""")
+def exact_auc_difference(t: Tables) -> DataFrame:
+    samples = bootstrap.resampled_auc(exact_rows(t), ["s1", "s2"], resamples=RESAMPLES)
+    out = bootstrap.paired_summary(bootstrap.paired_differences(samples, "s1", "s2"))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("lo", "hi", "p_value")])
+
+
 _THREE_LONG = """(SELECT lead_id, y, revenue, 'formula' AS model, p AS s FROM test_rows UNION ALL
   SELECT lead_id, y, revenue, 'value', value FROM test_rows UNION ALL SELECT lead_id, y, revenue, 'benchmark', sq_value FROM bench_rows)"""
 view("benchmark_rows", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadvane.catalog.base import query, view
 from leadvane.catalog.features import scored, test_rows
-from leadvane.catalog.metrics import RESAMPLES, SQL_CUTS, boot_rows, rounded_auc, sql_auc, sql_hash
+from leadvane.catalog.metrics import RESAMPLES, SQL_CUTS, boot_rows, exact_rows, rounded_auc, sql_auc, sql_hash
 from leadvane.catalog.outcomes import LEGACY, ORDERS_DATES, STUDY_SPECS
 from leadvane.catalog.summaries import extras_table
 from leadvane.catalog.views import T_AS_OF, T_TEST_FROM, WEIGHTS
@@ -592,7 +592,11 @@ SELECT round(quantile_cont(f, 0.025), 5) AS lo, round(quantile_cont(f, 0.975), 5
   SELECT (b.auc2 - b.auc1) / (o.auc - b.auc1) AS f FROM boot_auc b JOIN boot_oracle o USING (resample))""")
 def gap_recovered(t: Tables) -> DataFrame:
     """Share of the gap between a base score and an oracle that another score closes, on shared resamples."""
-    rows = boot_rows(t).withColumn("s3", F.col("y") * 0.3 + F.col("s1"))
+    return _gap_recovered(boot_rows(t))
+
+
+def _gap_recovered(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("s3", F.col("y") * 0.3 + F.col("s1"))
     wide = bootstrap.resampled_auc(rows, ["s1", "s2", "s3"], resamples=RESAMPLES).groupBy("resample").pivot("model", ["s1", "s2", "s3"]).agg(F.first("auc"))
     f = wide.select(((F.col("s2") - F.col("s1")) / (F.col("s3") - F.col("s1"))).alias("f"))
     return f.agg(F.round(F.percentile("f", 0.025), 5).alias("lo"), F.round(F.percentile("f", 0.975), 5).alias("hi"), F.count("*").alias("resamples"))
@@ -603,6 +607,18 @@ view("boot_oracle", """SELECT resample, sum(pos * (below + neg / 2)) / (sum(pos)
   FROM (SELECT resample, y * 0.3::DOUBLE + s1 AS s, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM boot_weights GROUP BY resample, s)) GROUP BY resample""")
 
 
+@query("E21_exact_gap_recovered", """
+SELECT round(quantile_cont(f, 0.025), 5) AS lo, round(quantile_cont(f, 0.975), 5) AS hi, count(*) AS resamples FROM (
+  SELECT (b.auc2 - b.auc1) / (o.auc - b.auc1) AS f FROM exact_auc b JOIN exact_oracle o USING (resample))""")
+def exact_gap_recovered(t: Tables) -> DataFrame:
+    return _gap_recovered(exact_rows(t))
+
+
+view("exact_oracle", """SELECT resample, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM (
+  SELECT resample, pos, neg, coalesce(sum(neg) OVER (PARTITION BY resample ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM (SELECT resample, y * 0.3::DOUBLE + s1 AS s, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM exact_weights GROUP BY resample, s)) GROUP BY resample""")
+
+
 @query("E22_judgment_evaluation")
 def judgment_evaluation(t: Tables) -> DataFrame:
     """Cross-fitted formula against formula plus judgments on the rows with an ok judgment."""

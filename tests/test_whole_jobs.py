@@ -1,5 +1,12 @@
 """Registered jobs run over everything that their operators take."""
+from pathlib import Path
+
+import duckdb
+import pytest
+
 import __spark_entry__ as entry_points
+from check_oracles import _rows
+from leadvane.catalog import metrics
 from leadvane.catalog.datasets import MAPPING
 from leadvane.catalog.metrics import RESAMPLES
 from leadvane.catalog.studies import DECLARED
@@ -53,3 +60,18 @@ def test_sizes_of_the_studies(spark, monkeypatch):
     run(spark, "M8_boosted_trees", SF).count()
     assert seen[:2] == [RESAMPLES, RESAMPLES] and seen[3] == 20 and trees == [len(FEATURES)]
     assert run(spark, "E20_generic_against_base", SF).count() == 1
+
+
+@pytest.mark.parametrize("name", ["E6_exact_auc_interval", "E6_exact_samples", "E7_exact_auc_difference", "E21_exact_gap_recovered"])
+def test_exact_bootstrap_equals_sql(spark, name):
+    db = duckdb.connect()
+    for f in Path(SF).glob("*.parquet"):
+        db.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    df, cur = run(spark, name), db.execute(entry_points.oracle_sql()[name])
+    assert _rows(df.columns, df.collect()) == _rows([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_exact_bootstrap_keeps_every_score(spark):
+    t = Tables(spark, SMALL)
+    scores = metrics.test_rows(t).select("p").distinct().count()
+    assert metrics.exact_rows(t).select("s1").distinct().count() == scores > metrics.boot_rows(t).select("s1").distinct().count()
