@@ -47,6 +47,7 @@ def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.nd
         rows = rows.persist()
     d = len(rows.select("x").first()["x"]) + 1
     penalty = np.broadcast_to(np.asarray(c, dtype=float), (fits,))
+    upper = np.triu_indices(d)  # the curvature is symmetric
     beta = np.zeros((fits, d))
     alive = np.ones(fits, dtype=bool)
     for step_no in range(MAX_PASSES):
@@ -72,7 +73,7 @@ def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.nd
                     for k in active:
                         h[k] += (x * v[:, k][:, None]).T @ x
             for k in active:
-                yield pd.DataFrame({"k": [k], "s": [np.concatenate([[w1[k], w0[k]], g[k], h[k].ravel()])]})
+                yield pd.DataFrame({"k": [k], "s": [np.concatenate([[w1[k], w0[k]], g[k], h[k][upper]])]})
 
         def total(pdf: pd.DataFrame) -> pd.DataFrame:
             k = int(pdf["k"].iloc[0])
@@ -81,7 +82,9 @@ def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.nd
                 return pd.DataFrame({"k": [k], "step": [np.full(d, np.nan)]})
             shrink = np.diag(np.r_[0.0, np.ones(d - 1)])
             grad = penalty[k] * s[2:2 + d] - shrink @ current[k]
-            curve = penalty[k] * s[2 + d:].reshape(d, d) + shrink
+            half = np.zeros((d, d))
+            half[upper] = s[2 + d:]
+            curve = penalty[k] * (half + np.triu(half, 1).T) + shrink
             return pd.DataFrame({"k": [k], "step": [np.linalg.lstsq(curve, grad, rcond=None)[0]]})
 
         parts = rows.mapInPandas(sums, "k bigint, s array<double>")
