@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadvane.llm import ann, decontam, fst, langid, line_dedup, minhash, quotes, substring, suffix_array, warc
+from leadvane.llm import ann, decontam, fst, langid, line_dedup, line_frequency, minhash, quotes, substring, suffix_array, warc
 from leadvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quotes.unquoted_conversations(table(spark, sf_dir, "conversations"))
     return out.withColumn("body_sha256", sha_text("body")).drop("body")
+
+
+@query("op11_line_frequency", r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+again AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+          FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM again GROUP BY doc_id),
+lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM t),
+keyed AS (SELECT *, regexp_replace(translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS key FROM lines),
+held AS (SELECT *, len(string_split(key, ' ')) AS words FROM keyed WHERE key <> ''),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM held GROUP BY doc_id),
+freq AS (SELECT source, key FROM held GROUP BY source, key HAVING count(DISTINCT doc_id) > 20),
+lost AS (SELECT h.doc_id, sum(h.words)::BIGINT AS n FROM held h JOIN freq f ON h.key = f.key AND h.source IS NOT DISTINCT FROM f.source GROUP BY h.doc_id),
+base AS (
+  SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_lost_words
+  FROM w LEFT JOIN dup ON w.doc_id = dup.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id LEFT JOIN lost ON w.doc_id = lost.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM judged""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_frequency.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept")
