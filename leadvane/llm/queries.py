@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadvane.llm import ann, decontam, fst, langid, line_dedup, line_frequency, minhash, quotes, substring, suffix_array, variants, warc
+from leadvane.llm import ann, collocations, decontam, fst, langid, line_dedup, line_frequency, minhash, quotes, substring, suffix_array, variants, warc
 from leadvane.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,25 @@ walk AS (SELECT word, word AS at FROM formed UNION ALL SELECT w.word, f.form FRO
 SELECT f.*, w.at AS root FROM formed f JOIN walk w ON f.word = w.word JOIN formed e ON w.at = e.word AND e.form IS NULL""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT *, array_to_string(w[1:c], ' ') AS left_part, array_to_string(w[c + 1:], ' ') AS right_part FROM (SELECT *, unnest(range(1, k)) AS c FROM cand)),
+scored AS (SELECT cut.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM cut JOIN f x ON cut.lang = x.lang AND left_part = x.phrase JOIN f y ON cut.lang = y.lang AND right_part = y.phrase),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+around AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM cand WHERE k = 3)
+           GROUP BY lang, phrase),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN around o ON w.lang = o.lang AND w.phrase = o.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN total t ON r.lang = t.lang WHERE rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
