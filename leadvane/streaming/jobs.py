@@ -1,15 +1,17 @@
 """Structured Streaming jobs whose results equal the batch operators on the same rows."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from leadvane.operators import monitoring
 from leadvane.operators.labels import DAY_MICROS
 
 
@@ -17,6 +19,11 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def with_state_store(spark: SparkSession) -> None:
+    """State with several values or timers a key needs the store on disk, which also keeps it out of the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_to_end(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Processes everything available, then stops."""
     q: StreamingQuery = (df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -99,6 +106,48 @@ def close_events(events: DataFrame, horizon_days: float, delay: str) -> DataFram
             .applyInPandasWithState(step, CLOSE_OUTPUT, CLOSE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
+ALERT_OUTPUT = "monitor string, part string, day date, n bigint, bad bigint, breach boolean, run bigint, alert boolean"
+
+
+def rate_alert_stream(leads: DataFrame, moment: str, series: Mapping[str, tuple[Column, Column]], expected: DataFrame, delay: str) -> DataFrame:
+    """The daily rate rule of ``monitoring.rate_alerts`` (without the rolling rate) on arriving leads.
+
+    A day is counted until the watermark passes its end, then goes once to the rule of its series, in order. The rule keeps the
+    last day and the length of the current run, so its state is two numbers a series; days without leads end a run.
+    """
+    cells = F.array(*[F.struct(F.lit(name).alias("monitor"), part.cast("string").alias("part"), flag.cast("boolean").alias("flag")) for name, (part, flag) in series.items()])
+    rows = leads.withWatermark(moment, delay).select(moment, F.explode(cells).alias("c")).select(moment, "c.*").where("part IS NOT NULL")
+    days = rows.groupBy(F.window(moment, "1 day"), "monitor", "part").agg(F.count("*").alias("n"), F.count_if("flag").alias("bad"))
+    days = days.select(F.to_date("window.start").alias("day"), "monitor", "part", "n", "bad").join(expected, ["monitor", "part"], "left")
+    days = days.withColumn("breach", monitoring.breaches(F.col("bad") / F.col("n"), F.col("expected")))
+
+    with_state_store(leads.sparkSession)
+    return days.groupBy("monitor", "part").transformWithStateInPandas(_DailyRule(), ALERT_OUTPUT, "append", "none")
+
+
+class _DailyRule(StatefulProcessor):
+    """Runs of bad days of one series from its closed days; rows come in any order within a batch, batches in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "day int, run int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        last, run = self.last.get() if self.last.exists() else (None, 0)
+        new = pd.concat(list(rows)).sort_values("day")
+        out = []
+        for day, n, bad, breach in zip(pd.to_datetime(new["day"]), new["n"], new["bad"], new["breach"]):
+            today = day.toordinal()
+            out += [(*key, pd.Timestamp.fromordinal(gap).date(), 0, 0, False, 0, False) for gap in range((last or today) + 1, today)]
+            run = (run + 1 if last in (None, today - 1) else 1) if breach else 0
+            out.append((*key, day.date(), n, bad, bool(breach), run, run >= monitoring.BAD_DAYS))
+            last = today
+        self.last.update((last, run))
+        yield pd.DataFrame(out, columns=["monitor", "part", "day", "n", "bad", "breach", "run", "alert"])
+
+    def close(self) -> None:
+        pass
+
+
 def windowed_volumes(events: DataFrame, moment: str, campaign: str, window: str, slide: str, delay: str) -> DataFrame:
     """Events per campaign in sliding windows, late rows accepted within the watermark delay."""
     return (events.withWatermark(moment, delay).groupBy(F.window(moment, window, slide), campaign)
