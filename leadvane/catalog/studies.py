@@ -460,7 +460,7 @@ def coefficient_bootstrap(t: Tables) -> DataFrame:
 def coefficient_intervals(t: Tables, resamples: int) -> DataFrame:
     """Percentile intervals of every coefficient from refits on resampled training rows, all refits together."""
     rows = design_rows(scored(t).where("is_train"), ["lead_id", "y"])
-    beta = fits.fit_many(rows, resamples, fits.bootstrap_weights(resamples, 0))
+    beta = fits.refit_resamples(rows, resamples, fits.bootstrap_weights(resamples, 0))
     return bootstrap.interval(fits.coefficient_frame(t.spark, beta, COLUMNS), "coefficient", ["column"])
 
 

@@ -1,16 +1,16 @@
 """Many L2 logistic fits over one pass of the data per iteration.
 
 Splits, folds, subsamples, resamples and penalties are all the same fit with different row weights, so they are fitted
-together: every task adds the gradient and curvature of each fit over its rows, the sums are added per fit, and only
-the coefficients (fits x columns numbers) visit the driver between passes. A single fit uses Spark ML instead.
+together: every task adds the gradient and curvature of each fit over its rows, the sums are added in levels, and only
+the coefficients (fits x columns numbers) visit the driver between passes.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,15 @@ from leadvane.operators.bootstrap import poisson_weights
 
 MAX_PASSES = 30
 TOLERANCE = 1e-8
+#: A fit that still takes a longer step after the last pass is refused.
+SETTLED = 1e-6
+#: Refits by gradients: the last step of each, and passes before the rest is fitted in full.
+REFIT_TOLERANCE, REFIT_PASSES = 1e-6, 25
+#: Arrays that one task adds.
+FAN_IN = 64
 _CHUNK = 2048
+_FITS = 64
+_PART = "k bigint, part bigint, s array<double>"
 
 
 def design_array(columns: Sequence[str]) -> Column:
@@ -35,45 +43,77 @@ def column_weights(name: str = "w") -> Callable[[pd.DataFrame], np.ndarray]:
     return lambda pdf: np.stack(pdf[name].to_numpy())
 
 
+def _labels(part: pd.DataFrame, y: str, fits: int, w: np.ndarray) -> np.ndarray:
+    """Rows x fits labels of a chunk, 0 where the weight is."""
+    values = part[y].to_numpy()
+    t = np.stack(values) if np.ndim(values[0]) else np.repeat(values.astype(float)[:, None], fits, axis=1)
+    return np.where(w > 0, t, 0.0)
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Pieces of the batches with their design matrix, intercept first."""
+    for pdf in batches:
+        for at in range(0, len(pdf), _CHUNK):
+            part = pdf.iloc[at:at + _CHUNK]
+            yield part, np.column_stack([np.ones(len(part)), np.stack(part["x"].to_numpy())])
+
+
+def _probability(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ beta.T, -500, 500)))
+
+
+def levelled(parts: DataFrame, tasks: int) -> DataFrame:
+    """Sums of the arrays ``s`` by ``k`` over groups of ``FAN_IN`` parts, again and again, until no ``k`` has more than ``FAN_IN`` rows.
+
+    ``parts`` has k, part (below ``tasks``) and s, so a task adds at most ``FAN_IN`` arrays however many tasks there were.
+    """
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "part": pdf["part"].iloc[:1] // FAN_IN, "s": [np.sum(np.stack(pdf["s"].to_numpy()), axis=0)]})
+    while tasks > FAN_IN:
+        parts = parts.groupBy("k", F.expr(f"part div {FAN_IN}").alias("_near")).applyInPandas(add, _PART)
+        tasks = -(-tasks // FAN_IN)
+    return parts
+
+
+def _kept(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` persisted, and whether that was done here: a caller's cache stays."""
+    own = rows.storageLevel == StorageLevel.NONE
+    return (rows.persist() if own else rows), own
+
+
 def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.ndarray], y: str = "y",
              c: float | Sequence[float] = LR_C) -> np.ndarray:
     """Coefficients ``(fits, 1 + columns)``, intercept first, of the penalised logistic regressions.
 
     ``rows`` holds the array ``x``, the label ``y`` (a number, or an array with one label per fit) and whatever
-    ``weights`` reads to give the rows x fits weight matrix. Fits whose weighted rows lack a class are NaN.
+    ``weights`` reads to give the rows x fits weight matrix. Fits whose weighted rows lack a class are NaN. The sums of all
+    tasks are added in levels of ``FAN_IN``. Raises if a fit still moves by more than ``SETTLED`` after the last pass.
     """
-    own = rows.storageLevel == StorageLevel.NONE  # a caller's cache stays
-    if own:
-        rows = rows.persist()
+    rows, own = _kept(rows)
     d = len(rows.select("x").first()["x"]) + 1
+    tasks = rows.rdd.getNumPartitions()
     penalty = np.broadcast_to(np.asarray(c, dtype=float), (fits,))
     upper = np.triu_indices(d)  # the curvature is symmetric
     beta = np.zeros((fits, d))
     alive = np.ones(fits, dtype=bool)
-    for step_no in range(MAX_PASSES):
+    for _ in range(MAX_PASSES):
         current, active = beta.copy(), np.flatnonzero(alive)
 
         def sums(batches, current=current, active=active):
             g, h = np.zeros((fits, d)), np.zeros((fits, d, d))
             w1, w0 = np.zeros(fits), np.zeros(fits)
-            for pdf in batches:
-                for at in range(0, len(pdf), _CHUNK):
-                    part = pdf.iloc[at:at + _CHUNK]
-                    x = np.column_stack([np.ones(len(part)), np.stack(part["x"].to_numpy())])
-                    w = np.asarray(weights(part), dtype=float)
-                    first = part[y].iloc[0]
-                    t = np.stack(part[y].to_numpy()) if np.ndim(first) else np.repeat(
-                        part[y].to_numpy(dtype=float)[:, None], fits, axis=1)
-                    t = np.where(w > 0, t, 0.0)
-                    mu = 1 / (1 + np.exp(-np.clip(x @ current.T, -500, 500)))
-                    w1 += (w * t).sum(axis=0)
-                    w0 += (w * (1 - t)).sum(axis=0)
-                    g += (w * (t - mu)).T @ x
-                    v = w * mu * (1 - mu)
-                    for k in active:
-                        h[k] += (x * v[:, k][:, None]).T @ x
+            for part, x in _chunks(batches):
+                w = np.asarray(weights(part), dtype=float)
+                t, mu = _labels(part, y, fits, w), _probability(x, current)
+                w1 += (w * t).sum(axis=0)
+                w0 += (w * (1 - t)).sum(axis=0)
+                g += (w * (t - mu)).T @ x
+                v = w * mu * (1 - mu)
+                for k in active:
+                    h[k] += (x * v[:, k][:, None]).T @ x
+            task = TaskContext.get().partitionId()
             for k in active:
-                yield pd.DataFrame({"k": [k], "s": [np.concatenate([[w1[k], w0[k]], g[k], h[k][upper]])]})
+                yield pd.DataFrame({"k": [k], "part": [task], "s": [np.concatenate([[w1[k], w0[k]], g[k], h[k][upper]])]})
 
         def total(pdf: pd.DataFrame) -> pd.DataFrame:
             k = int(pdf["k"].iloc[0])
@@ -87,7 +127,7 @@ def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.nd
             curve = penalty[k] * (half + np.triu(half, 1).T) + shrink
             return pd.DataFrame({"k": [k], "step": [np.linalg.lstsq(curve, grad, rcond=None)[0]]})
 
-        parts = rows.mapInPandas(sums, "k bigint, s array<double>")
+        parts = levelled(rows.mapInPandas(sums, _PART), tasks)
         steps = parts.groupBy("k").applyInPandas(total, "k bigint, step array<double>").collect()  # fits x columns
         largest = 0.0
         for r in steps:
@@ -100,11 +140,75 @@ def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.nd
             break
     if own:
         rows.unpersist()
-    if largest > 1e-4:
+    if largest > SETTLED:
         raise RuntimeError("logistic fits did not converge (separated classes without a penalty?)")
     return beta
 
 
+def refit_resamples(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.ndarray], y: str = "y", c: float = LR_C) -> np.ndarray:
+    """The coefficients of ``fit_many`` for reweighted copies of one training set, at the cost of gradients alone.
+
+    All refits start at the fit of the unweighted rows and step along its inverse curvature: a pass then adds one influence
+    vector of ``1 + columns`` numbers a refit instead of a curvature matrix. Steps shrink by a constant factor, the share by which a
+    refit's curvature differs from the whole one. A refit stops when a step is below ``REFIT_TOLERANCE``, which bounds its distance
+    from the full refit by a few times as much. Refits whose steps grow, or that need too many, are fitted in full.
+    """
+    rows, own = _kept(rows)
+    start = fit_many(rows, 1, lambda pdf: np.ones((len(pdf), 1)), y, c)[0]
+    d, tasks = len(start), rows.rdd.getNumPartitions()
+    if not np.isfinite(start).all():  # one class only, so no refit has two
+        return np.full((fits, d), np.nan)
+    shrink = np.diag(np.r_[0.0, np.ones(d - 1)])
+
+    def curvature(batches):
+        h = np.zeros((d, d))
+        for _, x in _chunks(batches):
+            mu = _probability(x, start[None, :])[:, 0]
+            h += (x * (mu * (1 - mu))[:, None]).T @ x
+        yield pd.DataFrame({"k": [0], "part": [TaskContext.get().partitionId()], "s": [h.ravel()]})
+    blocks = levelled(rows.mapInPandas(curvature, _PART), tasks).collect()  # at most FAN_IN matrices
+    inverse = np.linalg.pinv(c * np.sum([r["s"] for r in blocks], axis=0).reshape(d, d) + shrink)
+    beta = np.tile(start, (fits, 1))
+    alive, wild, last = np.ones(fits, bool), np.zeros(fits, bool), np.full(fits, np.inf)
+    for _ in range(REFIT_PASSES):
+        current, active = beta.copy(), np.flatnonzero(alive)
+
+        def gradients(batches, current=current, active=active):
+            g, classes = np.zeros((len(active), d)), np.zeros((len(active), 2))
+            for part, x in _chunks(batches):
+                w = np.asarray(weights(part), dtype=float)
+                t = _labels(part, y, fits, w)[:, active]
+                w = w[:, active]
+                classes += np.stack([(w * t).sum(axis=0), (w * (1 - t)).sum(axis=0)], axis=1)
+                g += (w * (t - _probability(x, current[active]))).T @ x
+            s, task = np.concatenate([classes, g], axis=1), TaskContext.get().partitionId()
+            for k in range(0, len(active), _FITS):
+                yield pd.DataFrame({"k": [k], "part": [task], "s": [s[k:k + _FITS].ravel()]})
+
+        def total(pdf: pd.DataFrame) -> pd.DataFrame:
+            k = int(pdf["k"].iloc[0])
+            s = np.sum(np.stack(pdf["s"].to_numpy()), axis=0).reshape(-1, 2 + d)
+            steps = (c * s[:, 2:] - current[active[k:k + _FITS]] @ shrink) @ inverse
+            steps[(s[:, 0] <= 0) | (s[:, 1] <= 0)] = np.nan
+            return pd.DataFrame({"k": active[k:k + _FITS], "step": list(steps)})
+        parts = levelled(rows.mapInPandas(gradients, _PART), tasks)
+        for r in parts.groupBy("k").applyInPandas(total, "k bigint, step array<double>").collect():
+            k, step = r["k"], np.asarray(r["step"], dtype=float)
+            beta[k] += step
+            size = np.max(np.abs(step))
+            wild[k] = size > last[k]
+            alive[k] = bool(size > REFIT_TOLERANCE) and not wild[k]
+            last[k] = size
+        if not alive.any():
+            break
+    again = np.flatnonzero(wild | alive)
+    if len(again):
+        beta[again] = fit_many(rows, len(again), lambda pdf: weights(pdf)[:, again], y, c)
+    if own:
+        rows.unpersist()
+    return beta
+
+
 def fit_one(wide: DataFrame, columns: Sequence[str], y: str = "y", c: float = LR_C) -> dict[str, float]:
     """One unweighted fit as weights by column; the same optimum as Spark ML's in far fewer passes."""
     rows = wide.select(y, design_array(columns), F.array(F.lit(1.0)).alias("w"))

@@ -157,3 +157,37 @@ def test_fits_leave_the_callers_cache_and_mark_missing_fits(spark):
     rows.unpersist()
     fits.fit_many(rows, 2, fits.column_weights())
     assert not rows.storageLevel.useMemory
+
+
+def test_refits_by_gradients_equal_full_refits(spark):
+    """Within ten times the last step, also for a level that a handful of rows hold and resamples may lose."""
+    rng = np.random.default_rng(8)
+    x = (rng.random((700, 6)) < np.array([.5, .3, .1, .02, .01, .004])).astype(float)
+    y = (rng.random(700) < 1 / (1 + np.exp(1 - x @ np.array([1, -1, 2, -2, 3, 3])))).astype(float)
+    data = [(i, [float(v) for v in a], float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    rows = spark.createDataFrame(data, "lead_id bigint, x array<double>, y double").repartition(7)
+    weights = fits.bootstrap_weights(150, 3)
+    full, fast = fits.fit_many(rows, 150, weights, c=0.5), fits.refit_resamples(rows, 150, weights, c=0.5)
+    assert np.abs(full - fast).max() < 10 * fits.REFIT_TOLERANCE and np.std(full[:, 1]) > 0.05
+    alone = rows.withColumn("y", F.lit(1.0))
+    assert np.isnan(fits.refit_resamples(alone, 4, weights)).all()
+
+
+def test_refits_that_do_not_settle_are_fitted_in_full(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    data = [(i, [float(v) for v in rng.integers(0, 2, 3)], float(rng.random() < .4)) for i in range(120)]
+    rows = spark.createDataFrame(data, "lead_id bigint, x array<double>, y double").repartition(3)
+    weights = fits.bootstrap_weights(20, 1)
+    monkeypatch.setattr(fits, "REFIT_PASSES", 2)
+    assert np.abs(fits.refit_resamples(rows, 20, weights) - fits.fit_many(rows, 20, weights)).max() < 1e-7
+
+
+def test_sums_in_levels(spark):
+    parts = spark.range(500).select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), F.col("id").alias("part"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("s"))
+    got = fits.levelled(parts, 500).collect()
+    assert max(sum(r.k == k for r in got) for k in range(3)) <= fits.FAN_IN
+    for k in range(3):
+        assert np.sum([r.s for r in got if r.k == k], axis=0).tolist() == [500 * 499 / 2, 500.0]
+    rows = spark.range(300).select(F.col("id").alias("lead_id"), F.array((F.col("id") % 3).cast("double")).alias("x"), (F.col("id") % 2).cast("double").alias("y"), F.array(F.lit(1.0)).alias("w"))
+    many, few = (fits.fit_many(rows.repartition(n), 1, fits.column_weights()) for n in (150, 2))
+    assert many == pytest.approx(few, abs=1e-7)
