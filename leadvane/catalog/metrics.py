@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadvane.catalog.base import query, view
 from leadvane.catalog.features import enriched, scored, test_rows, v2
 from leadvane.catalog.outcomes import ORDERS_DATES, cleaned, ts
-from leadvane.catalog.views import FMT, T_AS_OF, WEIGHTS
+from leadvane.catalog.views import FMT, T_AS_OF, T_TEST_FROM, WEIGHTS
 from leadvane.config import BENCHMARK_RULES
 from leadvane.functions import scores
 from leadvane.operators import bootstrap, design, labels, metrics, models, ranking, value
@@ -126,9 +126,7 @@ SELECT o_orderkey, greatest(1, ceil((rn - 1) * 10 / (n - 1)))::INT AS decile FRO
   SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rn, count(*) OVER () AS n FROM orders)""")
 def score_deciles(t: Tables) -> DataFrame:
     orders = t.table("orders").select("o_orderkey", "o_totalprice")
-    n = orders.agg(F.count("*")).scalar()
-    ranked = ranking.with_global_rank(orders, [F.col("o_totalprice"), F.col("o_orderkey")])
-    return ranked.select("o_orderkey", ranking.ten_bins(F.col("rank"), n).alias("decile"))
+    return ranking.cut_parts(orders, "o_totalprice", "o_orderkey", ranking.ten_cuts).select("o_orderkey", (F.col("part") + 1).alias("decile"))
 
 
 @query("E5_auc_by_month", sql_auc("(SELECT *, strftime(created_at, '%Y-%m') AS month FROM test_rows)", "p", ("month",)))
@@ -149,21 +147,25 @@ def value_scale(t: Tables) -> DataFrame:
                     *[F.round(c, 6).alias(c) for c in ("max_over_median", "top1pct_share")])
 
 
-@query("A17_bottom_decile_ghosted", """
-SELECT population, count(*) AS n_bottom, round(avg(ghosted_at_h::INT), 6) AS bottom_share FROM (
-  SELECT population, ghosted_at_h, row_number() OVER (PARTITION BY population ORDER BY p, lead_id) AS rn,
-    count(*) OVER (PARTITION BY population) AS n
-  FROM (SELECT 'all' AS population, * FROM scored UNION ALL SELECT 'mature', * FROM scored WHERE mature
-    UNION ALL SELECT 'test', * FROM scored WHERE is_test))
-WHERE rn <= floor(n * 0.1::DOUBLE) GROUP BY population""")
+@query("A17_bottom_decile_ghosted", f"""
+WITH s AS (SELECT s.*, y_legacy IS NOT NULL AS legacy, created_at >= {T_TEST_FROM} AS late, label_source = 'ghosted' AS ghosted, final_stage = 'New' AS still_new FROM scored s),
+x AS (SELECT 'legacy' AS population, * FROM s WHERE legacy UNION ALL SELECT 'legacy test', * FROM s WHERE legacy AND late
+  UNION ALL SELECT 'mature', * FROM s WHERE mature UNION ALL SELECT 'mature test', * FROM s WHERE mature AND late),
+r AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY p, lead_id) <= floor(count(*) OVER (PARTITION BY population) * 0.1::DOUBLE) AS low FROM x)
+SELECT population, count(*) AS n, count(*) FILTER (low) AS n_bottom, round(avg(coalesce(ghosted, false)::INT), 6) AS ghosted_overall,
+  round(avg(coalesce(ghosted, false)::INT) FILTER (low), 6) AS ghosted_bottom, round(avg(coalesce(still_new, false)::INT), 6) AS still_new_overall,
+  round(avg(coalesce(still_new, false)::INT) FILTER (low), 6) AS still_new_bottom FROM r GROUP BY population""")
 def bottom_decile_ghosted(t: Tables) -> DataFrame:
-    df = scored(t).withColumns({"ghosted": labels.ghosted_at_horizon(ORDERS_DATES.horizon_days),
-                                "mature": labels.is_mature(ORDERS_DATES.horizon_days, ORDERS_DATES.as_of)})
-    populations = F.filter(F.array(F.lit("all"), F.when(F.col("mature"), "mature"), F.when(F.col("is_test"), "test")),
-                           lambda x: x.isNotNull())
-    long = df.select("lead_id", "p", "ghosted", F.explode(populations).alias("population"))
-    out = metrics.bottom_share(long, "ghosted", "p", "lead_id", 0.1, "population")
-    return out.withColumn("bottom_share", F.round("bottom_share", 6))
+    """Ghosted and still-new leads among all and among the lowest scores, on four populations."""
+    legacy, mature = F.col("y_legacy").isNotNull(), labels.is_mature(ORDERS_DATES.horizon_days, ORDERS_DATES.as_of)
+    late = F.col("created_at") >= labels.at(ORDERS_DATES.test_from)
+    df = scored(t).withColumn("y_legacy", labels.legacy_label(ORDERS_DATES))
+    members = {"legacy": legacy, "legacy test": legacy & late, "mature": mature, "mature test": mature & late}
+    populations = F.array_compact(F.array(*[F.when(m, name) for name, m in members.items()]))
+    long = df.select("lead_id", "p", F.coalesce(F.col("label_source") == "ghosted", F.lit(False)).alias("ghosted"),
+                     F.coalesce(F.col("final_stage") == "New", F.lit(False)).alias("still_new"), F.explode(populations).alias("population"))
+    out = metrics.bottom_share(long, ["ghosted", "still_new"], "p", "lead_id", 0.1, "population")
+    return out.select("population", "n", "n_bottom", *[F.round(c, 6).alias(c) for c in out.columns[3:]])
 
 
 # ---- bootstrap ----

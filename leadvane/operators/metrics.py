@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadvane.config import TOP_FRACTION
-from leadvane.operators.ranking import (bucket_bounds, running_totals, ten_bins, with_bucket, with_global_rank)
+from leadvane.operators.ranking import bucket_bounds, cut_parts, running_totals, ten_cuts, with_bucket
 
 
 def auc(df: DataFrame, y: str = "y", score: str = "p", groups: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -60,21 +60,17 @@ def top_share(df: DataFrame, score: str, targets: Sequence[str], groups: Sequenc
                          F.col(score).alias("threshold"), F.col("n").alias("ties_at_cut"), *shares)
 
 
-def bottom_share(df: DataFrame, flag: str, score: str, key: str, fraction: float, group: str) -> DataFrame:
-    """Mean of a flag over the ``int(n x fraction)`` lowest-scored rows of each group, ties in key order."""
-    ranked = with_global_rank(df, [F.col(group), F.col(score), F.col(key)])
-    spans = ranked.groupBy(group).agg(F.min("rank").alias("_start"), F.count("*").alias("_n"))
-    inside = ranked.join(spans, group).where(
-        F.col("rank") - F.col("_start") < F.floor(F.col("_n") * F.lit(float(fraction))))
-    return inside.groupBy(group).agg(F.count("*").alias("n_bottom"),
-                                     F.avg(F.col(flag).cast("double")).alias("bottom_share"))
+def bottom_share(df: DataFrame, flags: Sequence[str], score: str, key: str, fraction: float, group: str) -> DataFrame:
+    """Rows, and the mean of each flag over all rows and over the ``int(n x fraction)`` lowest-scored rows (ties in key order), per group."""
+    parted = cut_parts(df, score, key, lambda n: [F.floor(n * F.lit(float(fraction)))], [group])
+    low = F.col("part") == 0
+    means = [m for f in flags for m in (F.avg(F.col(f).cast("double")).alias(f"{f}_overall"), F.avg(F.when(low, F.col(f).cast("double"))).alias(f"{f}_bottom"))]
+    return parted.groupBy(group).agg(F.count("*").alias("n"), F.count_if(low).alias("n_bottom"), *means)
 
 
 def calibration_by_decile(df: DataFrame, y: str = "y", p: str = "p", key: str = "lead_id") -> DataFrame:
     """Mean predicted and observed rate per decile of the prediction (10 = highest)."""
-    ranked = with_global_rank(df.select(key, y, p), [F.col(p), F.col(key)])
-    n = ranked.agg(F.count("*").alias("_n"))
-    binned = ranked.withColumn("decile", ten_bins(F.col("rank"), n.scalar()))
+    binned = cut_parts(df.select(key, y, p), p, key, ten_cuts).withColumn("decile", F.col("part") + 1)
     return binned.groupBy("decile").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("observed"))
 
 

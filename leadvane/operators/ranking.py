@@ -2,11 +2,12 @@
 
 Values are first counted per distinct value (a partial aggregate, so a value that holds a third of the rows is one
 row), then put into quantile buckets of the value range; running totals are windows inside a bucket plus an offset
-per bucket. Row ranks use a range-partitioned sort whose row ids are fixed by a checkpoint.
+per bucket. Cuts by rank order only the rows that tie at a cut. ``with_global_rank``, for orders over several columns, uses a
+range-partitioned sort whose row ids are fixed by a checkpoint.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -18,10 +19,17 @@ from leadvane.session import ensure_checkpoint_dir
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its lower 33 bits
 
 
+def _number(df: DataFrame, key: str) -> Column:
+    """``key`` as a double in its own order; a string by its first six bytes."""
+    if dict(df.dtypes)[key] != "string":
+        return F.col(key).cast("double")
+    return F.conv(F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def bucket_bounds(df: DataFrame, key: str) -> list[float]:
     """At most one inner bound per shuffle partition: balanced cut points of ``key`` (they affect balance only)."""
     n = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8), 2000)
-    found = df.select(F.col(key).cast("double").alias("k")).where("k is not null").approxQuantile(
+    found = df.select(_number(df, key).alias("k")).where("k is not null").approxQuantile(
         "k", [i / n for i in range(1, n)], 0.25 / n)
     return sorted(set(found))
 
@@ -32,7 +40,7 @@ def with_bucket(df: DataFrame, key: str, bounds: Sequence[float]) -> DataFrame:
         return df.withColumn("_bucket", F.lit(0.0))
     splits = [-float("inf"), *bounds, float("inf")]
     return (Bucketizer(splits=splits, inputCol="_bucket_key", outputCol="_bucket")
-            .transform(df.withColumn("_bucket_key", F.col(key).cast("double"))).drop("_bucket_key"))
+            .transform(df.withColumn("_bucket_key", _number(df, key))).drop("_bucket_key"))
 
 
 def running_totals(df: DataFrame, key: str, measures: Sequence[str], groups: Sequence[str] = (),
@@ -104,18 +112,63 @@ def with_global_rank(df: DataFrame, order: Sequence[Column | str], rank: str = "
             .withColumn(rank, F.col("_offset") + in_part + 1).drop("_row", "_part", "_offset"))
 
 
+def ranks(df: DataFrame, score: str, key: str, groups: Sequence[str] = (), rank: str = "rank") -> DataFrame:
+    """Adds the 1-based position of every row by ascending ``score``, ties by the unique ``key``, per group.
+
+    Distinct scores are counted and accumulated; only rows that share a score are ordered, in buckets of their keys.
+    """
+    counts = df.groupBy(*groups, score).agg(F.count("*").alias("_n"))
+    placed = df.join(running_totals(counts, score, ["_n"], groups).drop("_n_total"), [*groups, score])
+    alone = placed.where("_n = 1").withColumn(rank, F.col("_n_before") + 1)
+    tied = _tie_position(placed.where("_n > 1"), score, key, groups).withColumn(rank, F.col("_n_before") + F.col("_at"))
+    return alone.unionByName(tied.drop("_at")).drop("_n", "_n_before")
+
+
+def _tie_position(tied: DataFrame, score: str, key: str, groups: Sequence[str]) -> DataFrame:
+    """Adds ``_at``, the 1-based position by ``key`` among the rows of a group with one score."""
+    out = running_totals(tied.withColumn("_one", F.lit(1)), key, ["_one"], [*groups, score])
+    return out.withColumn("_at", F.col("_one_before") + 1).drop("_one", "_one_before", "_one_total")
+
+
+def cut_parts(df: DataFrame, score: str, key: str, cuts: Callable[[Column], Sequence[Column]], groups: Sequence[str] = (),
+              part: str = "part") -> DataFrame:
+    """Adds the number of cuts that a row lies behind, in the order of ``score`` and, for ties, of the unique ``key``.
+
+    ``cuts`` gives, for the number of rows of a group, the rank of the last row before each cut, ascending. Counts per score
+    tell which score every cut falls on and how many rows of that score come before it; all other rows are placed by
+    comparison, and only rows with a score that a cut divides are ordered.
+    """
+    counts = df.groupBy(*groups, score).agg(F.count("*").alias("_n"))
+    totals = running_totals(counts, score, ["_n"], groups)
+    wanted = F.array(*[F.struct(c.cast("long").alias("last"), F.col(score).alias("at"), (c - F.col("_n_before")).cast("long").alias("take"), F.col("_n").alias("of"))
+                       for c in cuts(F.col("_n_total"))])
+    hit = F.filter(wanted, lambda c: (c["take"] >= 1) & (c["take"] <= c["of"]))
+    none = F.filter(wanted, lambda c: c["last"] < 1)  # before the first row: everything is behind it
+    first = F.when(F.col("_n_before") == 0, F.size(none)).otherwise(0)
+    marks = totals.groupBy(*groups).agg(F.flatten(F.collect_list(hit)).alias("_cuts"), F.sum(first).alias("_empty"))
+    rows = df.join(marks, list(groups)) if groups else df.join(F.broadcast(marks))  # one row
+    split = F.filter("_cuts", lambda c: (c["at"] == F.col(score)) & (c["take"] < c["of"]))
+    passed = F.size(F.filter("_cuts", lambda c: c["at"] < F.col(score))) + F.col("_empty")
+    rows = rows.withColumns({"_split": split, part: passed.cast("int")})
+    whole, tied = rows.where(F.size("_split") == 0), _tie_position(rows.where(F.size("_split") > 0), score, key, groups)
+    behind = F.size(F.filter("_split", lambda c: c["take"] < F.col("_at")))
+    tied = tied.withColumn(part, (F.col(part) + behind).cast("int")).drop("_at")
+    return whole.unionByName(tied, allowMissingColumns=False).select(*df.columns, part)
+
+
 def top_rows(df: DataFrame, score: str, key: str, fraction: float) -> DataFrame:
-    """The ``int(n x fraction)`` best rows by score, ties by key; refuses an empty cut."""
+    """The ``int(n x fraction)`` best rows by score, ties by key, with their rank; refuses an empty cut."""
     n = df.count()
     k = int(n * fraction)
     if k < 1:
         raise ValueError(f"top {fraction:.0%} of {n} rows is empty")
-    return with_global_rank(df, [F.desc(score), F.asc(key)]).where(F.col("rank") <= k)
+    best = cut_parts(df.withColumn("_down", -F.col(score)), "_down", key, lambda _: [F.lit(k)]).where("part = 0").drop("part")
+    return ranks(best, "_down", key).drop("_down")
 
 
-def ten_bins(rank: Column, n: Column) -> Column:
-    """Decile of a 1-based rank among n rows, with quantile-cut edges (not ``ntile``)."""
-    return F.greatest(F.lit(1), F.ceil((rank - 1) * 10 / (n - 1))).cast("int")
+def ten_cuts(n: Column) -> list[Column]:
+    """Ranks of the last rows of the first nine of ten parts, with quantile-cut edges (not ``ntile``)."""
+    return [F.call_function("div", F.lit(b) * (n - 1), F.lit(10)) + 1 for b in range(1, 10)]
 
 
 def smallest_per_group(df: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:

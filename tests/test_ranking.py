@@ -76,8 +76,8 @@ def test_value_scale(data):
 def test_bottom_share_and_top_rows(data):
     df, y, s, _ = data
     order = np.lexsort((np.arange(len(s)), s))[:int(len(s) * 0.1)]
-    row = metrics.bottom_share(df.withColumn("all", F.lit("x")), "y", "p", "lead_id", 0.1, "all").first()
-    assert row["bottom_share"] == pytest.approx(y[order].mean())
+    row = metrics.bottom_share(df.withColumn("all", F.lit("x")), ["y"], "p", "lead_id", 0.1, "all").first()
+    assert row["y_bottom"] == pytest.approx(y[order].mean())
     top = ranking.top_rows(df, "p", "lead_id", 0.2)
     assert top.count() == int(len(s) * 0.2)
     with pytest.raises(ValueError):
@@ -191,3 +191,22 @@ def test_levels_of_blocks_do_not_change_the_result(data, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_cuts_order_only_ties(spark, kind):
+    """Heavy ties, cuts inside and at the ends of ties, several groups, empty and whole first parts."""
+    rng = np.random.default_rng(6)
+    rows = [(g, float(rng.choice([0.5, 0.5, 0.5, rng.random()])), int(i)) for g, n in (("a", 300), ("b", 7), ("c", 1)) for i in rng.permutation(n)]
+    df = spark.createDataFrame([(g, s, str(i) if kind == "string" else i) for g, s, i in rows], f"g string, s double, k {kind}").repartition(5)
+    cuts = lambda n: [F.floor(n * 0.1), F.floor(n * 0.35), F.floor(n * 0.35), n]
+    got = {(r.g, r.k): (r.part, r.rank) for r in ranking.ranks(ranking.cut_parts(df, "s", "k", cuts, ["g"]), "s", "k", ["g"]).collect()}
+    assert len(got) == len(rows)
+    for g in "abc":
+        order = sorted(((s, str(i) if kind == "string" else i) for h, s, i in rows if h == g))
+        n = len(order)
+        for rank, (_, k) in enumerate(order, 1):
+            assert got[g, k] == (sum(c < rank for c in (int(n * .1), int(n * .35), int(n * .35), n)), rank)
+    alone = ranking.cut_parts(df.where("g = 'a'").drop("g"), "s", "k", ranking.ten_cuts).groupBy("part").count().collect()
+    assert sorted(r["part"] for r in alone) == list(range(10)) and {r["count"] for r in alone} == {30}
+    assert ranking.cut_parts(df.limit(0), "s", "k", ranking.ten_cuts).count() == 0
