@@ -1,34 +1,26 @@
 """Queries: readers and writers, conversion, data quality, profiling and streaming."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadvane import schemas
-from leadvane.catalog.base import query, view
+from leadvane.catalog.base import query, scratch, view
 from leadvane.catalog.features import scored, texts
 from leadvane.catalog.outcomes import ORDERS_DATES, ts
 from leadvane.catalog.studies import COLUMNS, DECLARED, extras_table
 from leadvane.catalog.views import FMT, T_AS_OF, VALUE_WEIGHTS, WEIGHTS
 from leadvane.config import BENCHMARK_RULES, LEVELS, WEEKDAYS
 from leadvane.functions import text
-from leadvane.operators import conversion, crm, extras, models, profiling, quality, value
+from leadvane.functions.scores import linear_score, sigmoid
+from leadvane.operators import cleaning, conversion, crm, enrichment, extras, features, models, profiling, quality, value
 from leadvane.operators.conversion import FieldMap, Feature, Outcome, SourceMapping, apply, col
 from leadvane.plans import training
-from leadvane.session import ensure_checkpoint_dir
 from leadvane.sources import tables
 from leadvane.sources.bindings import EVENTS_AS_OF, Tables
 from leadvane.streaming import jobs
 
 
-def scratch(t: Tables) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext.getCheckpointDir()}/leadvane/{uuid.uuid4().hex}"
-
-
 # ---- readers and writers ----
 @query("S1_read_leads", f"""
 SELECT lead_id::VARCHAR AS lead_id, strftime(created_at, {FMT}) AS created_at, email, company_name, time_on_page_s, viewed_pricing, utm_term FROM leads""")
@@ -530,30 +522,45 @@ def redacted_texts(t: Tables) -> DataFrame:
 
 
 # ---- streaming ----
-def _stream_source(t: Tables, df: DataFrame, parts: int = 4) -> tuple[str, str]:
+def stream_slices(t: Tables, df: DataFrame, moment: str | None = None, slices: int = 4) -> tuple[str, str]:
+    """Folder of files for a file stream and its root: one file set for each batch, in the order of ``moment`` (or of a hash)."""
     root = scratch(t)
-    df.repartition(parts).write.parquet(f"{root}/in")
+    if moment is None:
+        parts = [F.pmod(F.xxhash64(*df.columns), F.lit(slices)) == i for i in range(slices)]
+    else:
+        at = F.unix_micros(moment)
+        cuts = df.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()[0] or []
+        parts = [(at >= a if a is not None else F.lit(True)) & (at < b if b is not None else F.lit(True)) for a, b in zip([None, *cuts], [*cuts, None])]
+    for part in parts:  # appended one after the other: the stream reads files by their time
+        df.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
     return f"{root}/in", root
 
 
 @query("R1_streamed_scores", "SELECT lead_id, round(p, 8) AS p FROM scored")
 def streamed_scores(t: Tables) -> DataFrame:
-    from leadvane.functions.scores import linear_score, sigmoid
-    rows = scored(t).select("lead_id", *LEVELS)
-    source, root = _stream_source(t, rows)
-    stream = jobs.file_stream(t.spark, source, rows.schema)
-    out = jobs.score_stream(stream, lambda df: df.select("lead_id", F.round(sigmoid(F.round(linear_score(WEIGHTS), 9)), 8).alias("p")))
-    jobs.run_to_end(out, jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
-    return t.spark.read.parquet(f"{root}/out").select("lead_id", "p")
+    """Raw leads as they arrive: enrichment, features and the frozen score all run inside the stream."""
+    rows, companies = cleaning.clean(t.leads()), t.companies()
+    source, root = stream_slices(t, rows)
+    stream = jobs.file_stream(t.spark, source, rows.schema, 1)
+
+    def score(leads: DataFrame) -> DataFrame:
+        ready = features.v2_features(enrichment.enrich(leads, companies))
+        return ready.select("lead_id", F.round(sigmoid(F.round(linear_score(WEIGHTS), 9)), 8).alias("p"))
+    jobs.run_to_end(jobs.score_stream(stream, score), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    return t.spark.read.schema("lead_id bigint, p double").parquet(f"{root}/out").select("lead_id", "p")
+
+
+#: How long a repeated submission is recognised; state older than that is dropped.
+REPEAT_WINDOW = "4000 days"
 
 
 @query("R2_streamed_first_submissions", "SELECT DISTINCT email_l FROM flagged WHERE email_l IS NOT NULL")
 def streamed_first_submissions(t: Tables) -> DataFrame:
     rows = t.leads().select("lead_id", "created_at", text.normalised_email(F.col("email")).alias("email_l")).where("email_l is not null")
-    source, root = _stream_source(t, rows)
-    out = jobs.first_submissions(jobs.file_stream(t.spark, source, rows.schema), "email_l", "created_at")
+    source, root = stream_slices(t, rows, "created_at")
+    out = jobs.first_submissions(jobs.file_stream(t.spark, source, rows.schema, 1), "email_l", "created_at", REPEAT_WINDOW)
     jobs.run_to_end(out, jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
-    return t.spark.read.parquet(f"{root}/out").select("email_l")
+    return t.spark.read.schema("email_l string").parquet(f"{root}/out").select("email_l")
 
 
 view("event_staged", f"""
@@ -561,44 +568,56 @@ SELECT lead_id, event_type, ts, value FROM (SELECT *, last_value(CASE WHEN event
   OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lead_id FROM events) WHERE lead_id IS NOT NULL AND ts <= TIMESTAMP '{EVENTS_AS_OF}'""")
 
 
-@query("R3_streamed_wins", """
-SELECT lead_id, value FROM (SELECT lead_id, value, row_number() OVER (PARTITION BY lead_id ORDER BY ts) AS rn FROM event_staged WHERE event_type = 'purchase') WHERE rn = 1""")
-def streamed_wins(t: Tables) -> DataFrame:
-    """All events of a lead arrive in one file set, so its first win is sent once."""
-    rows = t.event_stages().where(F.col("changed_at") <= F.lit(EVENTS_AS_OF).cast("timestamp")).select("lead_id", "stage", "deal_value", "changed_at")
-    root = scratch(t)
-    rows.repartition(2, "lead_id").write.parquet(f"{root}/in")
-    stream = jobs.file_stream(t.spark, f"{root}/in", rows.schema, files_per_trigger=2)
-    jobs.run_to_end(jobs.close_events(stream, 1.0, "30 days"), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
-    return t.spark.read.schema("lead_id bigint, stage string, value double").parquet(f"{root}/out").where("stage = 'won'").select("lead_id", "value")
+view("event_outcomes", """
+SELECT lead_id, min(CASE WHEN event_type = 'signup' THEN ts END) AS created, min(CASE WHEN event_type = 'purchase' THEN ts END) AS won,
+  arg_min(CASE WHEN event_type = 'purchase' THEN value END, CASE WHEN event_type = 'purchase' THEN ts END) AS value
+FROM (SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lead_id FROM events)
+WHERE lead_id IS NOT NULL GROUP BY lead_id""")
 
 
-@query("R3_streamed_close_events")
+@query("R3_streamed_close_events", """
+SELECT lead_id, 'won' AS stage, value, strftime(won, '%Y-%m-%d %H:%M:%S') AS at FROM event_outcomes WHERE won IS NOT NULL
+UNION ALL SELECT lead_id, 'matured', 0, strftime(created + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') FROM event_outcomes
+WHERE (won IS NULL AND created + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 1 DAY FROM events)) OR won > created + INTERVAL 1 DAY""")
 def streamed_close_events(t: Tables) -> DataFrame:
-    """Wins and matured leads from every event; all of them arrive in one file set, so the delay of a day loses none."""
+    """Wins and matured leads of every event, in four batches by time; leads of the last two days have not matured."""
     rows = t.event_stages().select("lead_id", "stage", "deal_value", "changed_at")
-    root = scratch(t)
-    rows.repartition(2, "lead_id").write.parquet(f"{root}/in")
-    stream = jobs.file_stream(t.spark, f"{root}/in", rows.schema, files_per_trigger=2)
+    source, root = stream_slices(t, rows, "changed_at")
+    stream = jobs.file_stream(t.spark, source, rows.schema, 1)
     jobs.run_to_end(jobs.close_events(stream, 1.0, "1 day"), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
-    return t.spark.read.schema(jobs.CLOSE_OUTPUT).parquet(f"{root}/out")
+    out = t.spark.read.schema(jobs.CLOSE_OUTPUT).parquet(f"{root}/out")
+    return out.select("lead_id", "stage", "value", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("R3_streamed_wins", f"""
+SELECT lead_id, value FROM (SELECT lead_id, value, row_number() OVER (PARTITION BY lead_id ORDER BY ts) AS rn FROM event_staged WHERE event_type = 'purchase') WHERE rn = 1""")
+def streamed_wins(t: Tables) -> DataFrame:
+    """The first win of each lead up to a date."""
+    rows = t.event_stages().where(F.col("changed_at") <= F.lit(EVENTS_AS_OF).cast("timestamp")).select("lead_id", "stage", "deal_value", "changed_at")
+    source, root = stream_slices(t, rows, "changed_at")
+    stream = jobs.file_stream(t.spark, source, rows.schema, 1)
+    jobs.run_to_end(jobs.close_events(stream, 1.0, "1 day", keep_days=4000.0), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    return t.spark.read.schema(jobs.CLOSE_OUTPUT).parquet(f"{root}/out").where("stage = 'won'").select("lead_id", "value")
 
 
 @query("R4_idempotent_ledger", "SELECT DISTINCT l_orderkey AS lead_id, l_returnflag AS stage FROM lineitem")
 def idempotent_ledger(t: Tables) -> DataFrame:
-    rows = t.table("lineitem").select(F.col("l_orderkey").alias("lead_id"), F.col("l_returnflag").alias("stage"))
-    source, root = _stream_source(t, rows)
-    jobs.run_to_end(jobs.file_stream(t.spark, source, rows.schema), jobs.ledger_sink(f"{root}/ledger", ["lead_id", "stage"]), f"{root}/checkpoint")
-    return t.spark.read.parquet(f"{root}/ledger").select("lead_id", "stage")
+    """Keys that come again in several batches are written once."""
+    rows = t.table("lineitem").select(F.col("l_orderkey").alias("lead_id"), F.col("l_returnflag").alias("stage"), F.col("l_linenumber").alias("line"))
+    source, root = stream_slices(t, rows)
+    jobs.run_to_end(jobs.file_stream(t.spark, source, rows.schema, 1), jobs.ledger_sink(f"{root}/ledger", ["lead_id", "stage"]), f"{root}/checkpoint")
+    return t.spark.read.schema("lead_id bigint, stage string").parquet(f"{root}/ledger").select("lead_id", "stage")
 
 
 @query("R5_windowed_volumes", """
 SELECT strftime(s, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM (
-  SELECT event_type, ts, unnest(range(0, 7)) AS j FROM events), LATERAL (SELECT date_trunc('day', ts) - to_days(j::INT) AS s) GROUP BY ALL""")
+  SELECT event_type, ts, unnest(range(0, 7)) AS j FROM events), LATERAL (SELECT date_trunc('day', ts) - to_days(j::INT) AS s)
+WHERE s + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY ALL""")
 def windowed_volumes(t: Tables) -> DataFrame:
+    """Windows that the watermark has closed, from four batches by time."""
     rows = t.table("events").select("ts", "event_type")
-    source, root = _stream_source(t, rows)
-    out = jobs.windowed_volumes(jobs.file_stream(t.spark, source, rows.schema, 100), "ts", "event_type", "7 days", "1 day", "60 days")
-    jobs.run_to_end(out, jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint", mode="update")
-    return t.spark.read.parquet(f"{root}/out").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
-
+    source, root = stream_slices(t, rows, "ts")
+    out = jobs.windowed_volumes(jobs.file_stream(t.spark, source, rows.schema, 1), "ts", "event_type", "7 days", "1 day", "2 days")
+    jobs.run_to_end(out, jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    out = t.spark.read.schema("start timestamp, event_type string, n bigint").parquet(f"{root}/out")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")

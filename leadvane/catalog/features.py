@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadvane.catalog.base import query, view
+from leadvane.catalog.base import query, scratch, view
 from leadvane.catalog.outcomes import HORIZON, ORDERS_DATES, labelled, ts
 from leadvane.catalog.views import (FMT, MARGIN, SQL_CHANNEL, SQL_EMAIL, SQL_TERM, VALUE_CORRECTION, VALUE_WEIGHTS,
                                     WEIGHTS, sql_normalised_name, sql_seniority, sql_text_class, sql_tokens)
@@ -37,12 +37,14 @@ SCORED_COLUMNS = ("lead_id", "created_at", "form_variant", "utm_medium", "utm_so
 
 
 def scored(t: Tables) -> DataFrame:
-    """The featurised, scored leads every evaluation query reads: built once per session and kept."""
+    """The featurised, scored leads every evaluation query reads: built and written once per session, so no plan repeats them."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
     if key not in _SCORED:
         cols = [*SCORED_COLUMNS, *[c for c in V2_ALL if c not in SCORED_COLUMNS], "is_train", "is_test", "p", "log_value",
                 "revenue", "deal_value_hat", "value"]
-        _SCORED[key] = score(t).select(*cols).persist()
+        rows, path = score(t).select(*cols), f"{scratch(t)}/scored"
+        rows.write.parquet(path)
+        _SCORED[key] = t.spark.read.schema(rows.schema).parquet(path)
     return _SCORED[key]
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadvane.catalog.base import query, view
-from leadvane.catalog.datasets import scratch
+from leadvane.catalog.base import query, scratch, view
+from leadvane.catalog.datasets import stream_slices
 from leadvane.catalog.features import scored
 from leadvane.catalog.outcomes import cleaned, labelled
 from leadvane.catalog.views import SQL_CHANNEL, T_AS_OF, T_TEST_FROM
@@ -86,8 +86,8 @@ def missing_alerts(t: Tables) -> DataFrame:
                       F.round("rolling", 8).alias("rolling"), "breach", "run", "alert")
 
 
-#: Times at which the streamed leads are cut into the files of successive batches, and how late a lead may come.
-STREAM_CUTS, STREAM_DELAY = ("1994-06-01", "1996-06-01", "1999-01-01"), "2 days"
+#: How late a streamed lead may come.
+STREAM_DELAY = "2 days"
 
 
 @query("X2_streamed_missing_alerts", f"""
@@ -99,14 +99,11 @@ FROM runs WHERE day + INTERVAL 1 DAY <= (SELECT max(created_at) - INTERVAL 2 DAY
 def streamed_missing_alerts(t: Tables) -> DataFrame:
     """The daily rule on leads that arrive in four batches; days the watermark has closed."""
     df = scored(t).select("created_at", "is_train", "channel", "session_missing", "enrichment_missing")
-    root, expected = scratch(t), f"{scratch(t)}/expected"
+    expected = f"{scratch(t)}/expected"
     monitoring.expected_rates(df.where("is_train"), series()).write.parquet(expected)
-    rows, last = df.drop("is_train"), None
-    for cut in (*STREAM_CUTS, None):  # one file set for each batch, in the order of time
-        part = rows if last is None else rows.where(F.col("created_at") >= labels.at(last))
-        (part if cut is None else part.where(F.col("created_at") < labels.at(cut))).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        last = cut
-    stream = jobs.file_stream(t.spark, f"{root}/in", rows.schema, 1)
+    rows = df.drop("is_train")
+    source, root = stream_slices(t, rows, "created_at")
+    stream = jobs.file_stream(t.spark, source, rows.schema, 1)
     known = t.spark.read.schema("monitor string, part string, expected double").parquet(expected)
     jobs.run_to_end(jobs.rate_alert_stream(stream, "created_at", series(), known, STREAM_DELAY), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
     out = t.spark.read.schema(jobs.ALERT_OUTPUT).parquet(f"{root}/out")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leadvane.functions.text import normalised_email
 from leadvane.operators.labels import at, elapsed_days
+from leadvane.session import path_exists
 
 # fixed values: currency, click ids by platform in order of use, and the platforms' windows in days
 CURRENCY = "GBP"
@@ -127,8 +128,7 @@ def send(leads: DataFrame, path: str, run: str, as_of: str) -> None:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the ledger at ``path``; an empty one if nothing was sent yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not path_exists(spark, path):
         return empty_ledger(spark)
     return spark.read.schema(LEDGER).option("basePath", path).parquet(path)
 

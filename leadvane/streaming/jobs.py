@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import LongType, StructField, StructType
 
 from leadvane.operators import monitoring
 from leadvane.operators.labels import DAY_MICROS
+from leadvane.session import path_exists
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 2) -> DataFrame:
@@ -38,18 +38,28 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+LEDGER_BUCKETS = 64
+
+
 def ledger_sink(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """Idempotent output: rows already in the ledger (from any other batch) are left out."""
+    """Idempotent output: rows already in the ledger (from any other batch) are left out.
+
+    The ledger lies in folders of a hash of the key, then of the batch. A batch reads only the buckets that its own keys fall
+    into, and a replayed batch replaces its own rows.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(key)
-        try:
-            sent = spark.read.parquet(path).where(F.col("batch") != batch_id).select(*key)
-            rows = rows.join(sent, key, "left_anti")
-        except Exception as e:  # noqa: BLE001 (first batch: no ledger yet)
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = batch.dropDuplicates(key).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(LEDGER_BUCKETS)).cast("int")).persist()
+        buckets = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most LEDGER_BUCKETS numbers
+        if path_exists(spark, path):
+            schema = StructType([*rows.schema.fields, StructField("batch", LongType())])
+            sent = spark.read.schema(schema).parquet(path).where(F.col("bucket").isin(buckets) & (F.col("batch") != batch_id))
+            new = rows.join(sent.select("bucket", *key), ["bucket", *key], "left_anti")
+        else:
+            new = rows
+        new = new.withColumn("batch", F.lit(batch_id).cast("long"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        rows.unpersist()
     return write
 
 
@@ -65,45 +75,76 @@ def first_submissions(leads: DataFrame, key: str, moment: str, delay: str | None
     return leads.withWatermark(moment, delay).dropDuplicatesWithinWatermark([key])
 
 
-CLOSE_STATE = "created bigint, won bigint, value double, sent string"
 CLOSE_OUTPUT = "lead_id bigint, stage string, value double, at timestamp"
 
 
-def close_events(events: DataFrame, horizon_days: float, delay: str) -> DataFrame:
+def close_events(events: DataFrame, horizon_days: float, delay: str, keep_days: float = 30.0) -> DataFrame:
     """Close-stage events per lead from a stream of (lead_id, stage, deal_value, changed_at).
 
-    A win is sent when it arrives; a lead without one is sent as 0 when the watermark passes its maturity; a win after
-    that is sent again. State is three numbers per open lead and ends with the win.
+    A lead matures when the watermark passes its horizon: without a win by then it is sent as 0. A win is sent when it arrives,
+    also after that 0; a win that arrives late but fell after the horizon sends the 0 first, so batches do not matter. A timer
+    removes the lead's state ``keep_days`` after its win or maturity; until then repeats of the win are dropped.
     """
-    horizon = int(horizon_days * DAY_MICROS)
+    with_state_store(events.sparkSession)
+    rows = events.withWatermark("changed_at", delay)
+    return rows.groupBy("lead_id").transformWithStateInPandas(_Close(int(horizon_days * DAY_MICROS), int(keep_days * DAY_MICROS)), CLOSE_OUTPUT, "append", "eventTime")
+
+
+class _Close(StatefulProcessor):
+    """created, won (microseconds), value, and what was sent of one lead."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        created, won, value, sent = state.get if state.exists else (None, None, None, None)
+    def __init__(self, horizon: int, keep: int) -> None:
+        self.horizon, self.keep = horizon, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lead = handle.getValueState("lead", "created bigint, won bigint, matured boolean")
+
+    def _row(self, key: tuple, stage: str, amount: float, at: int) -> tuple:
+        return key[0], stage, amount, pd.Timestamp(at, unit="us", tz="UTC")
+
+    def _timer(self, at: int) -> None:
+        self.handle.registerTimer(-(-at // 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = self.lead.get() if self.lead.exists() else (None, None, False)
+        created, won, matured = known
+        wins, out = [], []
+        for pdf in rows:
+            moments = pd.to_datetime(pdf["changed_at"], utc=True)
+            for stage, deal, at in zip(pdf["stage"], pdf["deal_value"], moments):
+                at = at.value // 1000
+                if stage == "New":
+                    created = at if created is None else min(created, at)
+                elif stage == "Won":
+                    wins.append((at, None if pd.isna(deal) else float(deal)))
+        if wins and won is None:
+            won, value = min(wins, key=lambda w: w[0])
+            if created is not None and won > created + self.horizon and not matured:
+                out.append(self._row(key, "matured", 0.0, created + self.horizon))
+                matured = True
+            out.append(self._row(key, "won", value, won))
+            self._timer(won + self.keep)
+        elif created is not None and known[0] is None and won is None:
+            self._timer(created + self.horizon)
+        self.lead.update((created, won, matured))
+        yield pd.DataFrame(out, columns=["lead_id", "stage", "value", "at"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
-        if state.hasTimedOut:
-            if sent is None and created is not None:
-                out.append((key[0], "matured", 0.0, pd.Timestamp(created + horizon, unit="us", tz="UTC")))
-                sent = "matured"
-        else:
-            for pdf in batches:
-                for stage, deal, at in zip(pdf["stage"], pdf["deal_value"], pdf["changed_at"]):
-                    at = pd.Timestamp(at)
-                    at = (at.tz_localize("UTC") if at.tzinfo is None else at).value // 1000  # microseconds
-                    if stage == "New":
-                        created = at if created is None else min(created, at)
-                    elif stage == "Won" and (won is None or at < won):
-                        won, value = at, deal
-            if won is not None and sent != "won":
-                out.append((key[0], "won", value, pd.Timestamp(won, unit="us", tz="UTC")))
-                sent = "won"
-        state.update((created, won, None if value is None or pd.isna(value) else float(value), sent))
-        if sent is None and created is not None:
-            due = (created + horizon) // 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if self.lead.exists():
+            created, won, matured = self.lead.get()
+            ends = won + self.keep if won is not None else (created + self.horizon + self.keep if matured else None)
+            if won is None and not matured:
+                out.append(self._row(key, "matured", 0.0, created + self.horizon))
+                self.lead.update((created, won, True))
+                self._timer(created + self.horizon + self.keep)
+            elif ends is not None and expiredTimerInfo.getExpiryTimeInMs() >= ends // 1000:
+                self.lead.clear()
         yield pd.DataFrame(out, columns=["lead_id", "stage", "value", "at"])
 
-    return (events.withWatermark("changed_at", delay).groupBy("lead_id")
-            .applyInPandasWithState(step, CLOSE_OUTPUT, CLOSE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    def close(self) -> None:
+        pass
 
 
 ALERT_OUTPUT = "monitor string, part string, day date, n bigint, bad bigint, breach boolean, run bigint, alert boolean"
@@ -149,6 +190,6 @@ class _DailyRule(StatefulProcessor):
 
 
 def windowed_volumes(events: DataFrame, moment: str, campaign: str, window: str, slide: str, delay: str) -> DataFrame:
-    """Events per campaign in sliding windows, late rows accepted within the watermark delay."""
+    """Events per campaign in sliding windows, each given once, when the watermark has passed its end (append mode)."""
     return (events.withWatermark(moment, delay).groupBy(F.window(moment, window, slide), campaign)
             .agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), campaign, "n"))
