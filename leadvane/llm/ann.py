@@ -7,7 +7,7 @@ components; every other vector whose upper bound reaches the lowest of these sco
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,23 +53,35 @@ def rotation(d: int, spec: CodeSpec) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:d]
 
 
+def _units(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and norms. Vectors are first divided by their largest component, so no square overflows or vanishes; a norm may be inf."""
+    top = np.abs(v).max(axis=1, initial=0)
+    scaled = v / top[:, None]
+    size = np.sqrt((scaled * scaled).sum(axis=1))
+    with np.errstate(over="ignore"):
+        return scaled / size[:, None], top * size
+
+
 def _codes(v: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed sign bits, and for each vector its norm and the inner product of its unit vector with its code."""
-    norm = np.sqrt((v * v).sum(axis=1))
-    turned = (v / norm[:, None]) @ turn
+    unit, norm = _units(v)
+    turned = unit @ turn
     agreed = np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[1])
     return np.packbits(turned > 0, axis=1, bitorder="little").view(U), np.stack([norm, agreed], axis=1)
 
 
 def _estimates(q: np.ndarray, turn: np.ndarray, code: np.ndarray, scalars: np.ndarray, spec: CodeSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Estimated inner products (queries x vectors) of unit queries, each vector's error bound, and the query norms."""
+    """Estimated inner products (queries x vectors) of unit queries, each vector's error bound, and the query norms.
+
+    In double precision: vectors of any finite size have an estimate, or one that is not finite and is reranked.
+    """
     wide, (norm, agreed) = turn.shape[1], scalars.T
-    q_norm = np.sqrt((q * q).sum(axis=1))
-    turned = (q / q_norm[:, None]) @ turn
+    unit, q_norm = _units(q)
+    turned = unit @ turn
     low = turned.min(axis=1)
     step = np.maximum(turned.max(axis=1) - low, 1e-300) / (2 ** PLANES - 1)
     level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
-    ones = np.bitwise_count(code).sum(axis=1).astype(np.float32)
+    ones = np.bitwise_count(code).sum(axis=1).astype(np.float64)
     both = np.zeros((len(q), len(code)), np.int32)
     for b in range(PLANES):
         plane = np.packbits((level >> b & 1).astype(bool), axis=1, bitorder="little").view(U)
@@ -80,20 +92,38 @@ def _estimates(q: np.ndarray, turn: np.ndarray, code: np.ndarray, scalars: np.nd
         both += count
     # sum of sign * component = 2 * (sum over set bits) - (sum over all)
     total = step * level.sum(axis=1) + low * wide
-    e = both.astype(np.float32)
-    e *= (2 * step)[:, None].astype(np.float32)
-    e += (2 * low)[:, None].astype(np.float32) * ones[None, :]
-    e -= total[:, None].astype(np.float32)
-    e *= (norm / agreed / np.sqrt(wide)).astype(np.float32)[None, :]
-    variance = np.maximum(1 - agreed ** 2, 0) / max(wide - 1, 1) + step.max(initial=0) ** 2 / 12
-    return e, (spec.deviations * norm * np.sqrt(variance) / agreed).astype(np.float32) + np.float32(1e-6) * norm.astype(np.float32), q_norm
+    e = both.astype(np.float64)
+    e *= (2 * step)[:, None]
+    e += (2 * low)[:, None] * ones[None, :]
+    e -= total[:, None]
+    with np.errstate(over="ignore", invalid="ignore"):
+        e *= (norm / agreed / np.sqrt(wide))[None, :]
+        variance = np.maximum(1 - agreed ** 2, 0) / max(wide - 1, 1) + step.max(initial=0) ** 2 / 12
+        return e, spec.deviations * norm * np.sqrt(variance) / agreed + 1e-6 * norm, q_norm
+
+
+def _reranked(e: np.ndarray, bound: np.ndarray, own: np.ndarray, exact: Callable[[np.ndarray], np.ndarray], q_norm: float, k: int) -> np.ndarray:
+    """Places of the vectors to score for one query: those whose upper bound reaches the lowest exact score of the ``k`` best estimates.
+
+    A vector without a finite estimate or bound is always scored; all are if no sound floor exists.
+    """
+    unsure = ~(np.isfinite(e) & np.isfinite(bound))
+    order = np.where(own | unsure, -np.inf, e)
+    best = np.argpartition(order, len(e) - k)[len(e) - k:]
+    known = np.isfinite(order[best]).all()
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        floor = exact(best).min(initial=np.inf) / q_norm if known else np.nan
+    if not np.isfinite(floor) or q_norm < 1e-290:
+        return np.flatnonzero(~own)
+    return np.flatnonzero(((e + bound >= floor - 1e-6 * abs(floor)) | unsure) & ~own)
 
 
 def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Inner products of rows with rows or one vector, summed component by component: equal vectors have equal scores."""
     out = np.zeros(len(v))
-    for d in range(v.shape[1]):
-        out += q[..., d] * v[:, d]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(v.shape[1]):
+            out += q[..., d] * v[:, d]
     return out
 
 
@@ -142,14 +172,9 @@ def search(vectors: DataFrame, is_query: F.Column, spec: CodeSpec = CodeSpec())
                 k = min(spec.k, len(ids))
                 for a in range(0, len(q), 64):
                     e, bound, q_norm = _estimates(q[a:a + 64], turn, code, scalars, spec)
-                    e[q_ids[a:a + 64, None] == ids[None, :]] = -np.inf
-                    best = np.argpartition(e, len(ids) - k, axis=1)[:, len(ids) - k:]
                     rows = []
                     for x in range(len(e)):
-                        # The k best estimates, scored exactly, give a floor; a higher upper bound may still rise above it.
-                        floor = _exact(q[a + x], v[best[x][np.isfinite(e[x, best[x]])]]).min(initial=np.inf) / q_norm[x]
-                        y = np.flatnonzero(e[x] + bound >= np.float32(floor - 1e-6 * abs(floor)) if np.isfinite(e[x, best[x]]).all() else np.isfinite(e[x]))
-                        y = y[np.isfinite(e[x, y])]
+                        y = _reranked(e[x], bound, ids == q_ids[a + x], lambda at, x=x: _exact(q[a + x], v[at]), q_norm[x], k)
                         score = _exact(q[a + x], v[y])
                         order = np.lexsort((ids[y], -score))[:spec.k]
                         rows.append((np.full(len(order), q_ids[a + x]), ids[y[order]], score[order]))

@@ -77,7 +77,23 @@ def split(data: np.ndarray, off: np.ndarray, parting: np.ndarray = BLANK) -> tup
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return run_hash(data.astype(U) + U(1), start, end)
+    """Hash of every word ``data[start:end]``: its bytes in lanes of eight, each mixed into the last state.
+
+    Mixing has an inverse, so words of at most eight bytes and one length never share a hash. Unlike a sum of powers no
+    pattern of letters cancels out in longer ones.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = (end - start).astype(np.int64)
+    h, todo, at = mix(left.astype(U)), np.arange(len(start)), start
+    while len(todo):
+        lane = lanes[at].astype(U)
+        short = left < 8
+        lane[short] &= (U(1) << (left[short] * 8).astype(U)) - U(1)
+        h[todo] = mix(h[todo] ^ lane)
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return h
 
 
 def windows(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,19 +107,17 @@ def windows(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, n
 def selected(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each ``i``, the position of the smallest of ``hashes[i:i + width]``, the leftmost among equals.
 
-    Depends on the hashes alone (their upper 40 bits), so equal word runs select equal places. Chunks hold less than
-    2**24 hashes; a longer text is refused.
+    Depends on the hashes alone (their upper 40 bits), so equal word runs select equal places.
     """
-    if len(hashes) >= 1 << 24:
-        raise ValueError("a text of 16 million words or more; split it first")
-    low = (hashes >> U(24) << U(24)) | np.arange(len(hashes), dtype=U)
+    low, pos = hashes >> U(24), np.arange(len(hashes))
     have, n = 1, len(hashes)
     while have < width:
         step = min(have, width - have)
-        m = n - have - step + 1
-        low = np.minimum(low[:max(m, 0)], low[step:step + max(m, 0)])
+        m = max(n - have - step + 1, 0)
+        later = low[step:step + m] < low[:m]
+        low, pos = np.where(later, low[step:step + m], low[:m]), np.where(later, pos[step:step + m], pos[:m])
         have += step
-    return (low & U((1 << 24) - 1)).astype(np.int64)
+    return pos
 
 
 def binary(rows: np.ndarray) -> pa.Array:
