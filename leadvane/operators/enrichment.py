@@ -1,13 +1,22 @@
 """Answers, company enrichment by domain and by exact normalised name."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadvane.config import ANSWER_KEYS, ENRICHMENT_COLUMNS
 from leadvane.functions.text import normalised_company, strip
 
 
+#: Rows without a key are spread over so many keys that match nothing, so that no task joins all of them.
+_SPREAD = 4096
+
+
+def _spread(key: Column) -> Column:
+    """``key``, or where it is null one of ``_SPREAD`` keys that no company has."""
+    return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.xxhash64("lead_id"), F.lit(_SPREAD)).cast("string")))
+
+
 def with_answers(leads: DataFrame) -> DataFrame:
     """``a_<key>`` columns from the answers JSON; a missing key is null."""
     parsed = leads.withColumn("_answers", F.from_json("answers", "map<string,string>"))
@@ -21,7 +30,8 @@ def join_by_domain(leads: DataFrame, companies: DataFrame) -> DataFrame:
     """
     dim = companies.select(F.lower("domain").alias("dom"),
                            *[F.col(c).alias(f"co_{c}") for c in ENRICHMENT_COLUMNS]).where("dom is not null")
-    return leads.withColumn("dom", F.lower(strip(F.col("company_domain")))).join(dim, "dom", "left")
+    leads = leads.withColumn("dom", F.lower(strip(F.col("company_domain"))))
+    return leads.withColumn("_dom", _spread(F.col("dom"))).join(dim.withColumnRenamed("dom", "_dom"), "_dom", "left").drop("_dom")
 
 
 def company_name_index(companies: DataFrame) -> DataFrame:
@@ -43,7 +53,7 @@ def join_by_name(leads: DataFrame, companies: DataFrame) -> DataFrame:
     for i, typed in enumerate(("company_name", "a_company")):
         unmatched = missed if i == 0 else missed & F.col("_found0").isNull()
         side = index.select(F.col("name_key").alias(f"_key{i}"), F.struct(*ENRICHMENT_COLUMNS).alias(f"_found{i}"))
-        out = (out.withColumn(f"_key{i}", F.when(unmatched, normalised_company(F.col(typed))))
+        out = (out.withColumn(f"_key{i}", _spread(F.when(unmatched, normalised_company(F.col(typed)))))
                .join(side, f"_key{i}", "left").drop(f"_key{i}"))
     found = F.coalesce("_found0", "_found1")
     return out.withColumns({
