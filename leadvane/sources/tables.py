@@ -16,6 +16,7 @@ from leadvane.operators.extras import Extra, FittedExtra, checked_number
 from leadvane.operators.models import ValueModel, weights_frame
 from leadvane.operators.quality import blank, require_unique
 from leadvane.operators.value import FittedTransform, ValueTransform
+from leadvane.sources.records import read_text_csv
 
 # fixed values: cell spellings that mean "no value" in a raw source file
 NULL_MARKERS = ("", "NA", "N/A", "n/a", "NULL", "null", "NaN", "nan", "None", "#N/A", "#NA", "<NA>", "-nan", "-NaN", "1.#IND",
@@ -25,9 +26,8 @@ FORMAT_VERSION = 1
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A CSV with a header: columns are matched by name, UTC timestamps parsed, absent columns null."""
-    header = spark.read.option("header", True).csv(path).columns
-    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(text).csv(path)
+    raw = read_text_csv(spark, path)
+    header = raw.columns
     cells = []
     for f in schema:
         c = F.col(f"`{f.name}`") if f.name in header else F.lit(None).cast("string")
@@ -56,7 +56,7 @@ def read_companies(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """A foreign CSV, every cell text, the usual missing-value spellings as null."""
-    raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
+    raw = read_text_csv(spark, path)
     return raw.select([F.when(~F.col(f"`{c}`").isin(*NULL_MARKERS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
