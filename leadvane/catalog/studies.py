@@ -12,7 +12,7 @@ from leadvane.catalog.metrics import RESAMPLES, SQL_CUTS, boot_rows, exact_rows,
 from leadvane.catalog.outcomes import LEGACY, ORDERS_DATES, STUDY_SPECS
 from leadvane.catalog.summaries import extras_table
 from leadvane.catalog.views import T_AS_OF, T_TEST_FROM, WEIGHTS
-from leadvane.config import (CONTEXT_LEVELS, CONTEXT_REFERENCES, FEATURES, JUDGMENTS, LEVELS, PERSONA_GROUPS, V2_REFERENCES, VALUE_LEVELS,
+from leadvane.config import (CALIBRATION_CLIP, CONTEXT_LEVELS, CONTEXT_REFERENCES, FEATURES, JUDGMENTS, LEVELS, PERSONA_GROUPS, V2_REFERENCES, VALUE_LEVELS,
                              design_columns)
 from leadvane.functions.scores import logit
 from leadvane.operators import (bootstrap, design, extras, features, fits, judgments, labels, metrics, models, ranking, screens,
@@ -288,10 +288,27 @@ def calibration_decay(t: Tables) -> DataFrame:
     return screens.calibration(long, "window")
 
 
-@query("M10_calibration_slope")
+def _sql_newton(src: str, group: str, passes: int = 30) -> str:
+    """Common table expressions it0 ... : both calibration fits by Newton steps from 0, one expression a pass."""
+    step = """SELECT grp, greatest(-2, least(2, (h11 * g0 - h01 * g1) / nullif(h00 * h11 - h01 * h01, 0))) + b0 AS b0,
+  greatest(-2, least(2, (h00 * g1 - h01 * g0) / nullif(h00 * h11 - h01 * h01, 0))) + b1 AS b1, greatest(-2, least(2, ga / ha)) + a AS a FROM (
+  SELECT grp, any_value(b0) AS b0, any_value(b1) AS b1, any_value(a) AS a, sum(y - mu) AS g0, sum((y - mu) * x) AS g1, sum(mu * (1 - mu)) AS h00,
+    sum(mu * (1 - mu) * x) AS h01, sum(mu * (1 - mu) * x * x) AS h11, sum(y - nu) AS ga, sum(nu * (1 - nu)) AS ha
+  FROM (SELECT r.*, b0, b1, a, 1 / (1 + exp(-(b0 + b1 * x))) AS mu, 1 / (1 + exp(-(a + x))) AS nu FROM cal r JOIN it{} USING (grp)) GROUP BY grp)"""
+    head = f"""cal AS MATERIALIZED (SELECT {group} AS grp, y, p, ln(q / (1 - q)) AS x FROM (SELECT *, greatest({CALIBRATION_CLIP[0]}, least({CALIBRATION_CLIP[1]}, p)) AS q FROM {src})),
+it0 AS (SELECT grp, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS a FROM cal GROUP BY grp HAVING sum(y) BETWEEN 1 AND count(*) - 1)"""
+    return ",\n".join([head, *[f"it{k + 1} AS MATERIALIZED ({step.format(k)})" for k in range(passes)]])
+
+
+@query("M10_calibration_slope", f"""
+WITH {_sql_newton("(SELECT y, p, strftime(created_at, '%Y') AS year FROM test_rows)", "year")}
+SELECT c.grp AS year, count(*) AS n, sum(y) AS wins, round(avg(p), 8) AS mean_p, round(avg(y), 8) AS observed, round(avg((y - p) * (y - p)), 8) AS brier,
+  round(any_value(b1), 6) AS slope, round(any_value(a), 6) AS intercept
+FROM cal c LEFT JOIN it30 ON c.grp = it30.grp GROUP BY c.grp""")
 def calibration_slope(t: Tables) -> DataFrame:
     rows = test_rows(t).select("y", "p", F.date_format("created_at", "yyyy").alias("year"))
-    return screens.calibration(rows, "year")
+    out = screens.calibration(rows, "year")
+    return out.select("year", "n", "wins", *[F.round(c, 8).alias(c) for c in ("mean_p", "observed", "brier")], *[F.round(c, 6).alias(c) for c in ("slope", "intercept")])
 
 
 # ---- fits ----

@@ -191,3 +191,14 @@ def test_sums_in_levels(spark):
     rows = spark.range(300).select(F.col("id").alias("lead_id"), F.array((F.col("id") % 3).cast("double")).alias("x"), (F.col("id") % 2).cast("double").alias("y"), F.array(F.lit(1.0)).alias("w"))
     many, few = (fits.fit_many(rows.repartition(n), 1, fits.column_weights()) for n in (150, 2))
     assert many == pytest.approx(few, abs=1e-7)
+
+
+def test_calibration_without_a_finite_slope(spark):
+    """One class has no fit; equal predictions and parted classes have an intercept alone; a far start still settles."""
+    rows = [("one", 0.0, .1)] * 5 + [("equal", float(i % 3 == 0), .3) for i in range(30)] + [("parted", float(i > 9), .1 + i / 25) for i in range(20)]
+    rows += [("sharp", float((i % 10) < 4), 1e-9 if i % 2 else 1 - 1e-9) for i in range(200)]
+    got = {r.g: r for r in screens.calibration(spark.createDataFrame(rows, "g string, y double, p double"), "g").collect()}
+    assert got["one"].slope is None and got["one"].intercept is None and got["one"].n == 5
+    assert got["equal"].slope is None and got["equal"].intercept == pytest.approx(np.log((1 / 3) / (2 / 3)) - np.log(.3 / .7))
+    assert got["parted"].slope is None and np.isfinite(got["parted"].intercept)
+    assert abs(got["sharp"].slope) < 0.1 and np.isfinite(got["sharp"].intercept)
