@@ -11,6 +11,7 @@ from leadvane.config import (CONTEXT_LEVELS, CONTEXT_REFERENCES, JUDGMENTS, PERS
 from leadvane.functions.scores import logit
 from leadvane.functions.text import strip, text_or_null, word_count
 from leadvane.operators.crm import map_lookup
+from leadvane.operators.quality import require_unique
 
 # fixed values: card labels and the blank marker
 BLANK = "(blank)"
@@ -72,14 +73,19 @@ def require_one_stamp(df: DataFrame) -> None:
 
 
 def judgment_features(df: DataFrame) -> DataFrame:
-    """``ctx_`` feature columns of ok rows; the persona is pooled into three groups."""
+    """``ctx_`` feature columns of ok rows; the persona is pooled into three groups. A judgment outside its list fails the job."""
+    def listed(j: str) -> Column:
+        refuse = F.raise_error(F.concat(F.lit(f"judgment {j} is not in its list: "), F.coalesce(F.col(j), F.lit("<null>"))))
+        return F.when(F.col(j).isin(*JUDGMENTS[j]), F.col(j)).otherwise(refuse.cast("string"))
     return df.where("status = 'ok'").select(
-        "lead_id", map_lookup(PERSONA_GROUPS, F.col("persona")).alias("ctx_persona_group"),
-        *[F.col(j).alias(f"ctx_{j}") for j in JUDGMENTS if j != "persona"])
+        "lead_id", map_lookup(PERSONA_GROUPS, listed("persona")).alias("ctx_persona_group"),
+        *[listed(j).alias(f"ctx_{j}") for j in JUDGMENTS if j != "persona"])
 
 
 def context_design(leads: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Judgment dummies of every lead; all null without an ok judgment."""
+    """Judgment dummies of every lead; all null without an ok judgment. Refuses repeated leads and several stamps."""
+    require_unique(judgments, "lead_id", "judgments")
+    require_one_stamp(judgments)
     joined = leads.select("lead_id").join(judgment_features(judgments), "lead_id", "left")
     cols = [F.when(F.col(f).isNull(), None).otherwise((F.col(f) == lvl).cast("double")).alias(f"{f}={lvl}")
             for f, ref in CONTEXT_REFERENCES.items() for lvl in CONTEXT_LEVELS[f] if lvl != ref]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadvane.config import BOILERPLATE_SNIPPETS, RunDates
+from leadvane.operators.asof import carry_last
 
 ORDERS_DATES = RunDates(as_of="2001-06-01", test_from="2000-01-01")
 EVENTS_AS_OF = "2024-01-28"
@@ -172,9 +173,9 @@ class Tables:
 
     def event_stages(self) -> DataFrame:
         """Every event attached to its user's latest signup, with the CRM stage it stands for."""
-        return self.table("events").withColumn("lead_id", F.expr(
-            "last_value(if(event_type = 'signup', event_id, null)) ignore nulls "
-            "over (partition by user_id order by ts, event_id)")).where("lead_id is not null").selectExpr(
+        signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
+        events = carry_last(self.table("events"), "user_id", F.date_trunc("day", "ts"), ["ts", "event_id"], signup, "lead_id")
+        return events.where("lead_id is not null").selectExpr(
             "lead_id", "event_id", "user_id", "ts as changed_at",
             "case event_type when 'signup' then 'New' when 'view' then 'Contacted' when 'click' then 'Qualified' "
             "when 'error' then 'Lost' else 'Won' end as stage",
