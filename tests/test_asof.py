@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leadvane.config import JUDGMENTS
 from leadvane.operators import conversion, judgments
 from leadvane.operators.asof import carry_last
-from leadvane.operators.conversion import Outcome, SourceMapping, apply, col
+from leadvane.operators.conversion import FieldMap, Outcome, SourceMapping, apply, col
 
 
 def test_carry_over_buckets(spark):
@@ -46,7 +46,13 @@ def test_judgments_that_cannot_be_used_are_refused(spark):
 
 
 def test_operands_that_are_no_numbers(spark):
+    """A text in a number's place is a violation with its column, wherever the expression reads it."""
     e = apply("product", "s.price", apply("sum", "s.a", "s.b"))
-    assert [n.ref for n in e.numbers()] == ["s.price", "s.a", "s.b"]
-    assert [n.ref for n in apply("minus_days", "s.day", "s.days").numbers()] == ["s.days"]
-    assert col("s.a").numbers() == [] and Outcome and SourceMapping and conversion
+    assert [n.ref for n in e.numbers()] == ["s.price", "s.a", "s.b"] and col("s.a").numbers() == []
+    rows = [("1", "2026-01-01", "yes", "10", "2"), ("2", "2026-01-02", "yes", "12 EUR", "3"), ("3", "2026-01-03", "no", "5", "three"), ("4", "2026-01-04", "no", None, "1e999")]
+    frames = {"d": spark.createDataFrame(rows, "n string, made string, won string, price string, pieces string")}
+    outcome = Outcome("won_flag", "d.won", won_values=("yes",), lost_values=("no",), lost_without_close="as_of")
+    for value, want in ((apply("product", "d.price", "d.pieces"), [("2", "d.price"), ("3", "d.pieces"), ("4", "d.pieces")]), (col("d.price"), [("2", "d.price")])):
+        mapping = SourceMapping("deals", ("d",), col("d.made"), outcome, "2026-06-01", row_order=("n",), won_at=col("d.made"), deal_value=value, fields=(FieldMap("d.won", value_map={"yes": {"utm_source": "google"}, "no": {}}),))
+        bad = conversion.convert(frames, mapping, {})["violations"].where("check_id = 'not_a_number'").collect()
+        assert sorted((r["key"][-1], r["column"]) for r in bad) == want
