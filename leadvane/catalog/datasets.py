@@ -388,13 +388,14 @@ def dirty_leads(t: Tables) -> DataFrame:
         "viewed_pricing": F.when(k % 113 == 0, "maybe").otherwise(F.col("viewed_pricing")),
         "form_variant": F.when(k % 127 == 0, "Z").otherwise(F.col("form_variant")),
         "local_submit_hour": F.when(k % 131 == 0, "24").otherwise(F.col("local_submit_hour")),
-        "answers": F.when(k % 137 == 0, "[1]").when(k % 139 == 0, "not json").otherwise(F.col("answers"))})
+        "answers": F.when(k % 137 == 0, "[1]").when(k % 139 == 0, "not json").when(
+            k % 149 == 0, '{"budget": "£1m", "company_size": "", "timeline": "This month", "other": "x"}').otherwise(F.col("answers"))})
 
 
 def _dirty_checks() -> list[quality.Check]:
     return [*quality.date_checks("created_at"), quality.number_check("time_on_page_s"), quality.number_check("hesitation_ms"), quality.boolean_check("viewed_pricing"),
             quality.level_check("form_variant", LEVELS["form_variant"]), quality.level_check("submitted_weekday", WEEKDAYS), quality.hour_check("local_submit_hour"),
-            quality.json_object_check("answers")]
+            quality.json_object_check("answers"), *quality.answer_checks("answers")]
 
 
 def _defects(name: str, sql: str, check_ids: tuple[str, ...]):
@@ -409,7 +410,8 @@ _defects("Q3_bad_dates", _K.format("blank_date", "o_orderkey % 101 = 0") + " UNI
 _defects("Q4_bad_numbers", _K.format("bad_number", "o_orderkey % 107 = 0 OR o_orderkey % 109 = 0"), ("bad_number",))
 _defects("Q5_bad_levels", _K.format("unknown_level", "o_orderkey % 127 = 0") + " UNION ALL " + _K.format("bad_boolean", "o_orderkey % 113 = 0") + " UNION ALL "
          + _K.format("bad_hour", "o_orderkey % 131 = 0"), ("unknown_level", "bad_boolean", "bad_hour"))
-_defects("Q6_bad_answers", _K.format("bad_json", "o_orderkey % 137 = 0 OR o_orderkey % 139 = 0"), ("bad_json",))
+_defects("Q6_bad_answers", _K.format("bad_json", "o_orderkey % 137 = 0 OR o_orderkey % 139 = 0") + " UNION ALL "
+         + _K.format("unlisted_answer", "o_orderkey % 149 = 0 AND o_orderkey % 137 <> 0 AND o_orderkey % 139 <> 0"), ("bad_json", "unlisted_answer"))
 
 
 @query("Q1_required_columns", "SELECT unnest(['company_domain','ip_country']) AS missing_column, (SELECT count(*) FROM orders) AS n_rows")

@@ -115,6 +115,8 @@ LEVELS = {
     "c_timeline": ("not_asked", "This month", "This quarter", "Next 6 months", "Just researching"),
     "edits_1_4": ("no", "yes"),
 }
+# fixed values: what a form lets one choose; a company size may also be left empty
+ANSWER_OPTIONS = {"company_size": LEVELS["band"][:-1], "budget": LEVELS["c_budget"][1:], "timeline": LEVELS["c_timeline"][1:]}
 DROPPED_FEATURES = ("c_budget", "c_timeline", "ip_type", "edits_1_4")
 FEATURES = tuple(f for f in LEVELS if f not in DROPPED_FEATURES)
 LEGACY_REFERENCES = {

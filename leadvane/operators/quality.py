@@ -1,11 +1,12 @@
 """Checks as violation tables ``(check_id, column, key, message)``, and gates that refuse a dataset."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadvane.config import ANSWER_OPTIONS
 from leadvane.functions.dates import finite_number, iso_timestamp
 from leadvane.functions.text import strip
 from leadvane.operators.ranking import smallest_per_group
@@ -64,6 +65,17 @@ def json_object_check(column: str) -> Check:
                                             | ~strip(c).startswith("{")), c
 
 
+def answer_checks(column: str, options: Mapping[str, Sequence[str]] = ANSWER_OPTIONS, may_be_empty: Sequence[str] = ("company_size",)) -> list[Check]:
+    """An answer of the JSON object in ``column`` outside the options of its key; an absent key is fine."""
+    answers = F.from_json(F.col(column), "map<string,string>")
+
+    def check(key: str, allowed: Sequence[str]) -> Check:
+        given = F.try_element_at(answers, F.lit(key))
+        listed = given.isin(*allowed, *([""] if key in may_be_empty else []))
+        return "unlisted_answer", f"{column}.{key}", given.isNotNull() & ~listed, given
+    return [check(key, allowed) for key, allowed in options.items()]
+
+
 def repeated_keys(df: DataFrame, key: str, lower: bool = False) -> DataFrame:
     """Keys on more than one row, counted with map-side combine."""
     value = F.lower(strip(F.col(key).cast("string"))) if lower else F.col(key).cast("string")
