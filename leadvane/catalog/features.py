@@ -12,6 +12,7 @@ from leadvane.config import (ANSWER_KEYS, DROPPED_FEATURES, FEATURES, LEGACY_REF
                              VALUE_LEVELS, design_columns)
 from leadvane.functions import dates, scores, text
 from leadvane.operators import cleaning, design, enrichment, features, labels
+from leadvane.session import path_exists
 from leadvane.sources.bindings import Tables
 
 LEGACY_FEATURES = tuple(LEGACY_REFERENCES)
@@ -30,7 +31,7 @@ def v2(t: Tables) -> DataFrame:
     return features.v2_features(enriched(t))
 
 
-_SCORED: dict[tuple[str, str], DataFrame] = {}
+_SCORED: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 SCORED_COLUMNS = ("lead_id", "created_at", "form_variant", "utm_medium", "utm_source", "utm_campaign", "a_country",
                   "a_job_title", "a_company_size", "pages_visited", "final_stage", "last_change", "deal_value", "won_at",
                   "first_contact_at", "label_source", "won_within_h", "enrichment_source", "y", "sector")
@@ -39,13 +40,13 @@ SCORED_COLUMNS = ("lead_id", "created_at", "form_variant", "utm_medium", "utm_so
 def scored(t: Tables) -> DataFrame:
     """The featurised, scored leads every evaluation query reads: built and written once per session, so no plan repeats them."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _SCORED:
+    if key not in _SCORED or not path_exists(t.spark, _SCORED[key][0]):
         cols = [*SCORED_COLUMNS, *[c for c in V2_ALL if c not in SCORED_COLUMNS], "is_train", "is_test", "p", "log_value",
                 "revenue", "deal_value_hat", "value"]
         rows, path = score(t).select(*cols), f"{scratch(t)}/scored"
         rows.write.parquet(path)
-        _SCORED[key] = t.spark.read.schema(rows.schema).parquet(path)
-    return _SCORED[key]
+        _SCORED[key] = path, t.spark.read.schema(rows.schema).parquet(path)
+    return _SCORED[key][1]
 
 
 def score(t: Tables) -> DataFrame:

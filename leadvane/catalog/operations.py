@@ -11,7 +11,7 @@ from leadvane.catalog.outcomes import cleaned, labelled
 from leadvane.catalog.views import SQL_CHANNEL, T_AS_OF, T_TEST_FROM
 from leadvane.config import LEVELS
 from leadvane.functions import text
-from leadvane.operators import cleaning, labels, monitoring, ranking, steering, uploads, value
+from leadvane.operators import cleaning, dictionary, labels, monitoring, ranking, steering, uploads, value
 from leadvane.sources.bindings import ORDERS_DATES, Tables
 from leadvane.streaming import jobs
 
@@ -317,3 +317,25 @@ SELECT lead_id, strftime(won_at, '%Y-%m-%d %H:%M:%S') AS won_at FROM upload_lead
 def held_amounts(t: Tables) -> DataFrame:
     rows = uploads.held(upload_leads(t).withColumns(value.close_stage(ORDERS_DATES.horizon_days, ORDERS_DATES.as_of)))
     return rows.select("lead_id", F.date_format("won_at", "yyyy-MM-dd HH:mm:ss").alias("won_at"))
+
+
+# ---- levels of wide columns ----
+MIN_ROWS = 3
+view("user_levels", f"""
+SELECT user_id::VARCHAR AS level, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id::VARCHAR) + 1 AS id FROM events WHERE ts < TIMESTAMP '2024-01-20'
+GROUP BY user_id HAVING count(*) >= {MIN_ROWS}""")
+
+
+@query("G8_level_dictionary", "SELECT level, n, id FROM user_levels")
+def user_level_dictionary(t: Tables) -> DataFrame:
+    return dictionary.level_dictionary(t.table("events").where("ts < '2024-01-20'"), "user_id", MIN_ROWS).select("level", "n", "id")
+
+
+@query("G8_encoded_levels", """
+SELECT event_id, CASE WHEN user_id IS NULL THEN 0 ELSE coalesce(id, 1) END AS level_id FROM events LEFT JOIN user_levels ON user_id::VARCHAR = level""")
+def encoded_levels(t: Tables) -> DataFrame:
+    """Every event by the stored levels of the earlier ones."""
+    events, path = t.table("events").select("event_id", "user_id", "ts"), f"{scratch(t)}/levels"
+    dictionary.level_dictionary(events.where("ts < '2024-01-20'"), "user_id", MIN_ROWS).write.parquet(path)
+    known = t.spark.read.schema("level string, n long, id long, heavy boolean").parquet(path)
+    return dictionary.encode_ids(events, "user_id", known, "level_id").select("event_id", "level_id")
