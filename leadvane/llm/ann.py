@@ -3,10 +3,13 @@
 A vector becomes the signs of its rotated components, packed into 64-bit words, with two scalars: its norm and how much of
 it the code explains. A rotated query is cut into 6-bit numbers; AND and bit counts of its bit planes with a code estimate
 the inner product, and the scalars bound the error. The k best estimates of a tile are scored with the original
-components; every other vector whose upper bound reaches the lowest of these scores is reranked too. Queries and codes meet tile by tile: blocks of queries with blocks of codes.
+components; every other vector whose upper bound reaches the lowest of these scores is reranked too. Queries and codes meet tile by tile: groups
+of query blocks with stripes of code blocks, each tile in one task that keeps the k best of a query over its stripe. Groups and stripes have a bounded
+number of blocks, so blocks are shuffled once for each group or stripe they meet, not once for each pair, and none is broadcast.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,9 @@ class CodeSpec:
     bits_per_component: int = 2
     codes_in_block: int = 8192
     queries_in_block: int = 512
+    #: Blocks that one task holds at most.
+    code_blocks_in_tile: int = 32
+    query_blocks_in_tile: int = 64
     seed: int = 11
 
 
@@ -140,6 +146,35 @@ def _packed(rows: DataFrame, key: str, turn: np.ndarray) -> DataFrame:
     return written(grouped.mapInArrow(run, "block long, ids binary, vectors binary, codes binary, scalars binary"), "codes")
 
 
+def _grid(n_asked: int, n_codes: int, tasks: int, spec: CodeSpec) -> tuple[int, int]:
+    """Groups of query blocks and stripes of code blocks: at least ``tasks`` tiles if there are so many blocks, none above its size.
+
+    Vectors are sent once for each group, queries and their results once for each stripe, so there are fewer groups than stripes.
+    """
+    groups = min(max(-(-n_asked // spec.query_blocks_in_tile), math.isqrt(tasks) // 3, 1), max(n_asked, 1))
+    return groups, min(max(-(-n_codes // spec.code_blocks_in_tile), -(-tasks // groups)), n_codes)
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple], turn: np.ndarray, spec: CodeSpec) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """query_id, vec_id and score of the ``k`` best of all blocks (ids, vectors, codes, scalars) for each query."""
+    best: list[list] = [[] for _ in q]
+    for ids, v, code, scalars in blocks:
+        k = min(spec.k, len(ids))
+        e, bound, q_norm = _estimates(q, turn, code, scalars, spec)
+        for x in range(len(q)):
+            y = _reranked(e[x], bound, ids == q_ids[x], lambda at, x=x: _exact(q[x], v[at]), q_norm[x], k)
+            best[x].append((ids[y], _exact(q[x], v[y])))
+            if len(best[x]) > 1:
+                found, score = (np.concatenate(c) for c in zip(*best[x]))
+                order = np.lexsort((found, -score))[:spec.k]
+                best[x] = [(found[order], score[order])]
+    out = []
+    for x, ((found, score),) in enumerate(best):
+        order = np.lexsort((found, -score))[:spec.k]
+        out.append((np.full(len(order), q_ids[x]), found[order], score[order]))
+    return out
+
+
 def search(vectors: DataFrame, is_query: F.Column, spec: CodeSpec = CodeSpec()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products of each query with all other vectors.
 
@@ -158,28 +193,24 @@ def search(vectors: DataFrame, is_query: F.Column, spec: CodeSpec = CodeSpec())
     n_codes, n_asked = -(-n // spec.codes_in_block), -(-n_queries // spec.queries_in_block)
     blocks = _packed(rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_codes))), "block", turn)
     asked = _packed(queries.withColumn("qblock", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, n_asked)))), "qblock", turn)
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_codes - 1).cast("long"))).alias("block"))
-    tiles = asked.join(blocks, "block").select("q_ids", "q_vectors", "ids", "vectors", "codes", "scalars")
-    tiles = tiles.repartition(max(1, n_codes * n_asked))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            for r in range(t.num_rows):
-                q_ids, ids = (np.frombuffer(t.column(c)[r].as_buffer(), np.int64) for c in (0, 2))
-                q, v = (np.frombuffer(t.column(c)[r].as_buffer(), np.float64).reshape(-1, d) for c in (1, 3))
-                code = np.frombuffer(t.column(4)[r].as_buffer(), U).reshape(len(ids), -1)
-                scalars = np.frombuffer(t.column(5)[r].as_buffer(), np.float64).reshape(-1, 2)
-                k = min(spec.k, len(ids))
-                for a in range(0, len(q), 64):
-                    e, bound, q_norm = _estimates(q[a:a + 64], turn, code, scalars, spec)
-                    rows = []
-                    for x in range(len(e)):
-                        y = _reranked(e[x], bound, ids == q_ids[a + x], lambda at, x=x: _exact(q[a + x], v[at]), q_norm[x], k)
-                        score = _exact(q[a + x], v[y])
-                        order = np.lexsort((ids[y], -score))[:spec.k]
-                        rows.append((np.full(len(order), q_ids[a + x]), ids[y[order]], score[order]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
-
-    found = tiles.mapInArrow(nearest, "query_id long, vec_id long, score double")
+    groups, stripes = _grid(n_asked, n_codes, 4 * rows.sparkSession.sparkContext.defaultParallelism, spec)
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asked.select(F.pmod("block", F.lit(groups)).alias("grp"), spread(stripes).alias("stripe"), F.col("block").alias("place"), "ids", "vectors")
+    right = blocks.select(spread(groups).alias("grp"), F.pmod("block", F.lit(stripes)).alias("stripe"), F.col("block").alias("place"), "ids", "vectors", "codes", "scalars")
+
+    def nearest(queries: pa.Table, codes: pa.Table) -> pa.Table:
+        held = []
+        for r in range(codes.num_rows):
+            ids, v, code, scalars = (np.frombuffer(codes[c][r].as_buffer(), kind) for c, kind in (("ids", np.int64), ("vectors", np.float64), ("codes", U), ("scalars", np.float64)))
+            held.append((ids, v.reshape(-1, d), code.reshape(len(ids), -1), scalars.reshape(-1, 2)))
+        out = []
+        for r in range(queries.num_rows if held else 0):
+            q_ids, q = np.frombuffer(queries["ids"][r].as_buffer(), np.int64), np.frombuffer(queries["vectors"][r].as_buffer(), np.float64).reshape(-1, d)
+            for a in range(0, len(q), 64):
+                out += _best(q_ids[a:a + 64], q[a:a + 64], held, turn, spec)
+        columns = zip(*out) if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(np.concatenate(c) if out else c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    found = left.groupBy("grp", "stripe").cogroup(right.groupBy("grp", "stripe")).applyInArrow(nearest, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
