@@ -1,6 +1,8 @@
 """Queries: readers and writers, conversion, data quality, profiling and streaming."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from leadvane.functions.scores import linear_score, sigmoid
 from leadvane.operators import cleaning, conversion, crm, enrichment, extras, features, models, profiling, quality, value
 from leadvane.operators.conversion import FieldMap, Feature, Outcome, SourceMapping, apply, col
 from leadvane.plans import training
+from leadvane.session import move_files
 from leadvane.sources import tables
 from leadvane.sources.bindings import EVENTS_AS_OF, Tables
 from leadvane.streaming import jobs
@@ -524,31 +527,39 @@ def redacted_texts(t: Tables) -> DataFrame:
 
 
 # ---- streaming ----
-def stream_slices(t: Tables, df: DataFrame, moment: str | None = None, slices: int = 4) -> tuple[str, str]:
-    """Folder of files for a file stream and its root: one file set for each batch, in the order of ``moment`` (or of a hash)."""
+def stream_slices(t: Tables, df: DataFrame, start: Callable[[DataFrame, str], None], moment: str | None = None, slices: int = 4) -> str:
+    """Lets a stream take up ``df`` in slices in the order of ``moment`` (or of a hash) and returns the root folder.
+
+    The rows are written once by all tasks, in a folder for each slice. Slice by slice, its files are moved into the folder that the
+    stream reads, and ``start(stream, root)`` runs to their end, with one checkpoint: each slice is one batch of many tasks.
+    """
     root = scratch(t)
     if moment is None:
-        parts = [F.pmod(F.xxhash64(*df.columns), F.lit(slices)) == i for i in range(slices)]
+        place = F.pmod(F.xxhash64(*df.columns), F.lit(slices)).cast("int")
     else:
         at = F.unix_micros(moment)
         cuts = df.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()[0] or []
-        parts = [(at >= a if a is not None else F.lit(True)) & (at < b if b is not None else F.lit(True)) for a, b in zip([None, *cuts], [*cuts, None])]
-    for part in parts:  # appended one after the other: the stream reads files by their time
-        df.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return f"{root}/in", root
+        place = sum(((at >= c).cast("int") for c in cuts), F.lit(0))
+    df.withColumn("_slice", place).where("_slice is not null").write.partitionBy("_slice").parquet(f"{root}/all")
+    t.spark.createDataFrame([], df.schema).write.parquet(f"{root}/in")  # a stream without rows has a batch too
+    for i in range(slices):
+        if move_files(t.spark, f"{root}/all/_slice={i}", f"{root}/in", f"{i}-") or i == 0:
+            start(jobs.file_stream(t.spark, f"{root}/in", df.schema, None), root)
+    return root
 
 
 @query("R1_streamed_scores", "SELECT lead_id, round(p, 8) AS p FROM scored")
 def streamed_scores(t: Tables) -> DataFrame:
     """Raw leads as they arrive: enrichment, features and the frozen score all run inside the stream."""
     rows, companies = cleaning.clean(t.leads()), t.companies()
-    source, root = stream_slices(t, rows)
-    stream = jobs.file_stream(t.spark, source, rows.schema, 1)
 
     def score(leads: DataFrame) -> DataFrame:
         ready = features.v2_features(enrichment.enrich(leads, companies))
         return ready.select("lead_id", F.round(sigmoid(F.round(linear_score(WEIGHTS), 9)), 8).alias("p"))
-    jobs.run_to_end(jobs.score_stream(stream, score), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+
+    def start(stream: DataFrame, root: str) -> None:
+        jobs.run_to_end(jobs.score_stream(stream, score), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    root = stream_slices(t, rows, start)
     return t.spark.read.schema("lead_id bigint, p double").parquet(f"{root}/out").select("lead_id", "p")
 
 
@@ -559,9 +570,11 @@ REPEAT_WINDOW = "4000 days"
 @query("R2_streamed_first_submissions", "SELECT DISTINCT email_l FROM flagged WHERE email_l IS NOT NULL")
 def streamed_first_submissions(t: Tables) -> DataFrame:
     rows = t.leads().select("lead_id", "created_at", text.normalised_email(F.col("email")).alias("email_l")).where("email_l is not null")
-    source, root = stream_slices(t, rows, "created_at")
-    out = jobs.first_submissions(jobs.file_stream(t.spark, source, rows.schema, 1), "email_l", "created_at", REPEAT_WINDOW)
-    jobs.run_to_end(out, jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+
+    def start(stream: DataFrame, root: str) -> None:
+        out = jobs.first_submissions(stream, "email_l", "created_at", REPEAT_WINDOW)
+        jobs.run_to_end(out, jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    root = stream_slices(t, rows, start, "created_at")
     return t.spark.read.schema("email_l string").parquet(f"{root}/out").select("email_l")
 
 
@@ -584,9 +597,10 @@ WHERE (won IS NULL AND created + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 1 D
 def streamed_close_events(t: Tables) -> DataFrame:
     """Wins and matured leads of every event, in four batches by time; leads of the last two days have not matured."""
     rows = t.event_stages().select("lead_id", "stage", "deal_value", "changed_at")
-    source, root = stream_slices(t, rows, "changed_at")
-    stream = jobs.file_stream(t.spark, source, rows.schema, 1)
-    jobs.run_to_end(jobs.close_events(stream, 1.0, "1 day"), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+
+    def start(stream: DataFrame, root: str) -> None:
+        jobs.run_to_end(jobs.close_events(stream, 1.0, "1 day"), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    root = stream_slices(t, rows, start, "changed_at")
     out = t.spark.read.schema(jobs.CLOSE_OUTPUT).parquet(f"{root}/out")
     return out.select("lead_id", "stage", "value", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
@@ -596,9 +610,10 @@ SELECT lead_id, value FROM (SELECT lead_id, value, row_number() OVER (PARTITION
 def streamed_wins(t: Tables) -> DataFrame:
     """The first win of each lead up to a date."""
     rows = t.event_stages().where(F.col("changed_at") <= F.lit(EVENTS_AS_OF).cast("timestamp")).select("lead_id", "stage", "deal_value", "changed_at")
-    source, root = stream_slices(t, rows, "changed_at")
-    stream = jobs.file_stream(t.spark, source, rows.schema, 1)
-    jobs.run_to_end(jobs.close_events(stream, 1.0, "1 day", keep_days=4000.0), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+
+    def start(stream: DataFrame, root: str) -> None:
+        jobs.run_to_end(jobs.close_events(stream, 1.0, "1 day", keep_days=4000.0), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    root = stream_slices(t, rows, start, "changed_at")
     return t.spark.read.schema(jobs.CLOSE_OUTPUT).parquet(f"{root}/out").where("stage = 'won'").select("lead_id", "value")
 
 
@@ -606,8 +621,10 @@ def streamed_wins(t: Tables) -> DataFrame:
 def idempotent_ledger(t: Tables) -> DataFrame:
     """Keys that come again in several batches are written once."""
     rows = t.table("lineitem").select(F.col("l_orderkey").alias("lead_id"), F.col("l_returnflag").alias("stage"), F.col("l_linenumber").alias("line"))
-    source, root = stream_slices(t, rows)
-    jobs.run_to_end(jobs.file_stream(t.spark, source, rows.schema, 1), jobs.ledger_sink(f"{root}/ledger", ["lead_id", "stage"]), f"{root}/checkpoint")
+
+    def start(stream: DataFrame, root: str) -> None:
+        jobs.run_to_end(stream, jobs.ledger_sink(f"{root}/ledger", ["lead_id", "stage"]), f"{root}/checkpoint")
+    root = stream_slices(t, rows, start)
     return t.spark.read.schema("lead_id bigint, stage string").parquet(f"{root}/ledger").select("lead_id", "stage")
 
 
@@ -618,8 +635,10 @@ WHERE s + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP
 def windowed_volumes(t: Tables) -> DataFrame:
     """Windows that the watermark has closed, from four batches by time."""
     rows = t.table("events").select("ts", "event_type")
-    source, root = stream_slices(t, rows, "ts")
-    out = jobs.windowed_volumes(jobs.file_stream(t.spark, source, rows.schema, 1), "ts", "event_type", "7 days", "1 day", "2 days")
-    jobs.run_to_end(out, jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+
+    def start(stream: DataFrame, root: str) -> None:
+        out = jobs.windowed_volumes(stream, "ts", "event_type", "7 days", "1 day", "2 days")
+        jobs.run_to_end(out, jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    root = stream_slices(t, rows, start, "ts")
     out = t.spark.read.schema("start timestamp, event_type string, n bigint").parquet(f"{root}/out")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")

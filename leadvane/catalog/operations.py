@@ -102,10 +102,11 @@ def streamed_missing_alerts(t: Tables) -> DataFrame:
     expected = f"{scratch(t)}/expected"
     monitoring.expected_rates(df.where("is_train"), series()).write.parquet(expected)
     rows = df.drop("is_train")
-    source, root = stream_slices(t, rows, "created_at")
-    stream = jobs.file_stream(t.spark, source, rows.schema, 1)
     known = t.spark.read.schema("monitor string, part string, expected double").parquet(expected)
-    jobs.run_to_end(jobs.rate_alert_stream(stream, "created_at", series(), known, STREAM_DELAY), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+
+    def start(stream: DataFrame, root: str) -> None:
+        jobs.run_to_end(jobs.rate_alert_stream(stream, "created_at", series(), known, STREAM_DELAY), jobs.parquet_sink(f"{root}/out"), f"{root}/checkpoint")
+    root = stream_slices(t, rows, start, "created_at")
     out = t.spark.read.schema(jobs.ALERT_OUTPUT).parquet(f"{root}/out")
     return out.select("monitor", "part", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "bad", "breach", "run", "alert")
 

@@ -15,8 +15,10 @@ from leadvane.operators.labels import DAY_MICROS
 from leadvane.session import path_exists
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 2) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = 2) -> DataFrame:
+    """Rows of the files that arrive below ``path``, so many files a batch, or (None) all that are there when a run begins."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def with_state_store(spark: SparkSession) -> None:
@@ -72,6 +74,7 @@ def first_submissions(leads: DataFrame, key: str, moment: str, delay: str | None
     """Drops repeat submissions across micro-batches; with a delay the state is bounded by the watermark."""
     if delay is None:
         return leads.dropDuplicates([key])
+    with_state_store(leads.sparkSession)
     return leads.withWatermark(moment, delay).dropDuplicatesWithinWatermark([key])
 
 
