@@ -10,12 +10,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadvane.config import LR_C
 from leadvane.operators.bootstrap import poisson_weights
+from leadvane.session import written
 
 MAX_PASSES = 30
 TOLERANCE = 1e-8
@@ -75,21 +76,18 @@ def levelled(parts: DataFrame, tasks: int) -> DataFrame:
     return parts
 
 
-def _kept(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """``rows`` persisted, and whether that was done here: a caller's cache stays."""
-    own = rows.storageLevel == StorageLevel.NONE
-    return (rows.persist() if own else rows), own
-
-
 def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.ndarray], y: str = "y",
-             c: float | Sequence[float] = LR_C) -> np.ndarray:
+             c: float | Sequence[float] = LR_C, fixed: bool = False) -> np.ndarray:
     """Coefficients ``(fits, 1 + columns)``, intercept first, of the penalised logistic regressions.
 
     ``rows`` holds the array ``x``, the label ``y`` (a number, or an array with one label per fit) and whatever
     ``weights`` reads to give the rows x fits weight matrix. Fits whose weighted rows lack a class are NaN. The sums of all
     tasks are added in levels of ``FAN_IN``. Raises if a fit still moves by more than ``SETTLED`` after the last pass.
+
+    The rows are written once and read by every pass, so that no pass plans (and the driver keeps) what built them; ``fixed`` rows
+    are such a table already.
     """
-    rows, own = _kept(rows)
+    rows = rows if fixed else written(rows)
     d = len(rows.select("x").first()["x"]) + 1
     tasks = rows.rdd.getNumPartitions()
     penalty = np.broadcast_to(np.asarray(c, dtype=float), (fits,))
@@ -138,8 +136,6 @@ def fit_many(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame], np.nd
                 largest = max(largest, float(np.max(np.abs(step))))
         if not alive.any():
             break
-    if own:
-        rows.unpersist()
     if largest > SETTLED:
         raise RuntimeError("logistic fits did not converge (separated classes without a penalty?)")
     return beta
@@ -153,8 +149,8 @@ def refit_resamples(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame]
     refit's curvature differs from the whole one. A refit stops when a step is below ``REFIT_TOLERANCE``, which bounds its distance
     from the full refit by a few times as much. Refits whose steps grow, or that need too many, are fitted in full.
     """
-    rows, own = _kept(rows)
-    start = fit_many(rows, 1, lambda pdf: np.ones((len(pdf), 1)), y, c)[0]
+    rows = written(rows)
+    start = fit_many(rows, 1, lambda pdf: np.ones((len(pdf), 1)), y, c, fixed=True)[0]
     d, tasks = len(start), rows.rdd.getNumPartitions()
     if not np.isfinite(start).all():  # one class only, so no refit has two
         return np.full((fits, d), np.nan)
@@ -203,9 +199,7 @@ def refit_resamples(rows: DataFrame, fits: int, weights: Callable[[pd.DataFrame]
             break
     again = np.flatnonzero(wild | alive)
     if len(again):
-        beta[again] = fit_many(rows, len(again), lambda pdf: weights(pdf)[:, again], y, c)
-    if own:
-        rows.unpersist()
+        beta[again] = fit_many(rows, len(again), lambda pdf: weights(pdf)[:, again], y, c, fixed=True)
     return beta
 
 
