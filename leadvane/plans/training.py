@@ -27,8 +27,9 @@ class FittedModel:
 
 def prepare(leads: DataFrame, crm_events: DataFrame, companies: DataFrame, spec: LabelSpec, dates: RunDates) -> DataFrame:
     """Leads to labelled, featurised rows with split masks: one lazy plan."""
+    leads = enrichment.with_answers(leads)
     cleaned = crm.add_crm_outcomes(cleaning.clean(leads), crm_events)
-    enriched = enrichment.enrich(labels.assign_labels(cleaned, spec, dates), companies)
+    enriched = enrichment.enrich(labels.assign_labels(cleaned, spec, dates), companies, keyed=leads)
     return labels.with_split(features.v2_features(enriched), spec, dates)
 
 
@@ -81,8 +82,9 @@ def as_training_schema(leads: DataFrame, extra_columns: tuple[str, ...] = ()) ->
 def featurise_batch(leads: DataFrame, companies: DataFrame, encoder: tuple[extras.FittedExtra, ...] = ()) -> DataFrame:
     """New leads featurised as in training; bots and repeats are flagged, not dropped."""
     batch = as_training_schema(leads, tuple(f.extra.column for f in encoder))
-    flagged = cleaning.flag_bots_and_repeats(batch)
-    return extras.encode(features.v2_features(enrichment.enrich(flagged, companies)), encoder)
+    answered = enrichment.with_answers(batch)
+    flagged = cleaning.flag_bots_and_repeats(answered)
+    return extras.encode(features.v2_features(enrichment.enrich(flagged, companies, keyed=answered)), encoder)
 
 
 def score_batch(leads: DataFrame, companies: DataFrame, model: FittedModel) -> DataFrame:
