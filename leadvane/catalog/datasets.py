@@ -18,7 +18,7 @@ from leadvane.functions.scores import linear_score, sigmoid
 from leadvane.operators import cleaning, conversion, crm, enrichment, extras, features, models, profiling, quality, value
 from leadvane.operators.conversion import FieldMap, Feature, Outcome, SourceMapping, apply, col
 from leadvane.plans import training
-from leadvane.session import move_files
+from leadvane.session import move_files, written
 from leadvane.sources import tables
 from leadvane.sources.bindings import EVENTS_AS_OF, Tables
 from leadvane.streaming import jobs
@@ -109,7 +109,7 @@ def saved_parameters(t: Tables) -> DataFrame:
     from leadvane.functions.scores import linear_score, sigmoid
     path, rows = scratch(t), scored(t)
     transform = value.fit_transform(rows.where("is_train"), "value", value.ValueTransform())
-    encoder = extras.fit_encoder(DECLARED[:1], rows.join(extras_table(t), "lead_id").where("is_train"))
+    encoder = extras.fit_encoder(DECLARED[:1], written(rows.select("lead_id", "is_train").join(extras_table(t), "lead_id").where("is_train")))
     tables.save_model(t.spark, path, WEIGHTS, models.ValueModel(VALUE_WEIGHTS, 0.5, 100), transform, encoder)
     win, deal, loaded, frozen = tables.load_model(t.spark, path)
     if loaded != transform or frozen != encoder:

@@ -12,6 +12,7 @@ from leadvane.catalog.views import SQL_CHANNEL, T_AS_OF, T_TEST_FROM
 from leadvane.config import LEVELS
 from leadvane.functions import text
 from leadvane.operators import cleaning, dictionary, labels, monitoring, ranking, steering, uploads, value
+from leadvane.operators.rows import row_key
 from leadvane.sources.bindings import ORDERS_DATES, Tables
 from leadvane.streaming import jobs
 
@@ -299,7 +300,8 @@ def upload_leads(t: Tables) -> DataFrame:
     fitted = value.fit_transform(values.where("is_train"), "value", value.ValueTransform())
     rows = cleaned(t).select("lead_id", "created_at", "utm_medium", "utm_source", "won_at", "deal_value", *_IDS)
     channel = text.channel(F.col("utm_medium"), F.col("utm_source"))
-    rows = rows.join(values.select("lead_id", F.col("value").alias("expected_value")), "lead_id").withColumn("upload", fitted.apply(F.col("expected_value")))
+    expected = values.where("lead_id is not null").select(row_key(F.col("lead_id")).alias("_row"), F.col("value").alias("expected_value"))
+    rows = rows.join(expected, row_key(F.col("lead_id")) == F.col("_row")).drop("_row").withColumn("upload", fitted.apply(F.col("expected_value")))
     return rows.withColumn("channel", channel).withColumn("platform", uploads.platform(F.col("channel")))
 
 
