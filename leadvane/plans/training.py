@@ -12,6 +12,8 @@ from leadvane.operators import cleaning, crm, design, enrichment, extras, featur
 from leadvane.schemas import LEADS
 
 VALUE_COLUMNS = design_columns(dict.fromkeys(VALUE_LEVELS), VALUE_LEVELS)
+#: What ``train`` reads of prepared rows, without extras; ``label_source`` refuses leads without a recognised final stage.
+TRAINING_COLUMNS = ("lead_id", "label_source", "y", "deal_value", "is_train", *dict.fromkeys([*V2_REFERENCES, *VALUE_LEVELS]))
 
 
 @dataclass(frozen=True)
