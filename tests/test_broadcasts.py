@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leadvane.operators import cleaning, metrics
+from leadvane.operators import cleaning, metrics, ranking
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +33,14 @@ def test_first_rows_of_a_key_are_dealt(rows):
     flagged = cleaning.flag_repeats(rows, "email", ["created_at", "lead_id"])
     assert "BroadcastExchange" not in plan(flagged)
     assert flagged.where("dup").count() == 310
+def test_samples_of_exploded_rows(rows):
+    drawn = rows.select("lead_id", F.explode(F.array(*[F.lit(d).cast("bigint") for d in (0, 1, None)])).alias("draw"))
+    sample = ranking.sample_exact(drawn, "lead_id", F.lit(50), F.col("draw"), ["draw"])
+    assert plan(sample).count("LeftSemi") >= 2 and "BuildLeft" not in plan(sample)
+    got = {}
+    for r in sample.collect():
+        got.setdefault(r["draw"], set()).add(r["lead_id"])
+    for d in (0, 1):
+        order = [r[0] for r in rows.select("lead_id", ranking.hash_order(F.col("lead_id"), d).alias("h")).orderBy("h", "lead_id").limit(50).collect()]
+        assert got[d] == set(order)
+    assert set(got) == {0, 1}  # rows without a stratum are in no sample
