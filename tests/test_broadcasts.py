@@ -2,6 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from leadvane.catalog.studies import customer_samples
 from leadvane.operators import cleaning, metrics, ranking
 
 
@@ -44,3 +45,10 @@ def test_samples_of_exploded_rows(rows):
         order = [r[0] for r in rows.select("lead_id", ranking.hash_order(F.col("lead_id"), d).alias("h")).orderBy("h", "lead_id").limit(50).collect()]
         assert got[d] == set(order)
     assert set(got) == {0, 1}  # rows without a stratum are in no sample
+
+
+def test_customer_samples_leave_the_pool_in_place(rows):
+    held = customer_samples(rows, 3, 40)
+    assert "BuildLeft" not in plan(held)
+    maps = [r["m"] for r in held.select("m").collect()]
+    assert sum(len(m) for m in maps) == 120 and sum(v for m in maps for v in m.values()) == 24
