@@ -122,8 +122,8 @@ def hash_cuts(pool: DataFrame, key: str, sizes: Sequence[int], seeds: Sequence[i
     before = W.partitionBy("seed").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     placed = counts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
     hit = F.filter(F.array(*[F.lit(s) for s in sizes]), lambda s: (s > F.col("off")) & (s <= F.col("off") + F.col("n")))
-    cut = placed.select("seed", "slice", "off", F.explode(hit).alias("size"))  # one row per (size, seed)
-    inside = rows.join(cut, ["seed", "slice"])
+    cut = placed.select("seed", "slice", "off", F.explode(hit).alias("size"))
+    inside = rows.join(F.broadcast(cut), ["seed", "slice"])  # one row per (size, seed); by its plan Spark may take the rows for smaller
     rn = F.row_number().over(W.partitionBy("seed", "size").orderBy("h", "_key"))  # rows of one slice
     found = inside.withColumn("rn", rn).where(F.col("off") + F.col("rn") == F.col("size")).select("seed", "size", "h").collect()
     return {(r["size"], r["seed"]): r["h"] for r in found}

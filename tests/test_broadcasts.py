@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadvane.catalog.studies import customer_samples
-from leadvane.operators import cleaning, metrics, ranking
+from leadvane.operators import cleaning, metrics, ranking, splits
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,10 @@ def test_customer_samples_leave_the_pool_in_place(rows):
     assert "BuildLeft" not in plan(held)
     maps = [r["m"] for r in held.select("m").collect()]
     assert sum(len(m) for m in maps) == 120 and sum(v for m in maps for v in m.values()) == 24
+
+
+def test_hash_cuts_of_many_seeds(rows, monkeypatch):
+    plans, collect = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: plans.append(plan(df)) or collect(df))
+    cuts = splits.hash_cuts(rows, "lead_id", (10, 60), tuple(range(20)))
+    assert len(cuts) == 40 and plans and "BuildLeft" not in "".join(plans)
