@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,8 @@ def first_submissions(leads: DataFrame, key: str, moment: str, delay: str | None
 
 
 CLOSE_OUTPUT = "lead_id bigint, stage string, value double, at timestamp"
+#: Leads share a state value by a hash of their id: a batch calls the state store a few times a bucket, not a few times a lead.
+LEAD_BUCKETS = 256
 
 
 def close_events(events: DataFrame, horizon_days: float, delay: str, keep_days: float = 30.0) -> DataFrame:
@@ -89,62 +92,90 @@ def close_events(events: DataFrame, horizon_days: float, delay: str, keep_days:
     removes the lead's state ``keep_days`` after its win or maturity; until then repeats of the win are dropped.
     """
     with_state_store(events.sparkSession)
-    rows = events.withWatermark("changed_at", delay)
-    return rows.groupBy("lead_id").transformWithStateInPandas(_Close(int(horizon_days * DAY_MICROS), int(keep_days * DAY_MICROS)), CLOSE_OUTPUT, "append", "eventTime")
+    rows = events.withWatermark("changed_at", delay).select(
+        F.pmod(F.xxhash64("lead_id"), F.lit(LEAD_BUCKETS)).alias("bucket"), F.col("lead_id").isNull().cast("bigint").alias("no_id"),
+        F.coalesce(F.col("lead_id").cast("bigint"), F.lit(0)).alias("lead_id"), "stage", F.col("deal_value").cast("double").alias("deal_value"),
+        "changed_at", F.coalesce(F.unix_micros("changed_at"), F.lit(_NO_TIME)).alias("at"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Close(int(horizon_days * DAY_MICROS), int(keep_days * DAY_MICROS)), CLOSE_OUTPUT, "append", "eventTime")
+
+
+_KEYS, _MOMENTS = ["no_id", "lead_id"], ["created", "won", "matured", "due"]
+#: No value, and a time after all others, among microseconds; the time of an event that has none.
+_NONE, _LAST = int(np.iinfo(np.int64).min), int(np.iinfo(np.int64).max)
+_NO_TIME = _NONE // 1000
 
 
 class _Close(StatefulProcessor):
-    """created, won (microseconds), value, and what was sent of one lead."""
+    """Of each lead of a bucket: created and won (microseconds), whether 0 was sent, and when the lead is due for that or for its removal.
+
+    A bucket has a timer at its first due lead, or before.
+    """
 
     def __init__(self, horizon: int, keep: int) -> None:
         self.horizon, self.keep = horizon, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lead = handle.getValueState("lead", "created bigint, won bigint, matured boolean")
+        self.leads = handle.getValueState("leads", "packed binary")
 
-    def _row(self, key: tuple, stage: str, amount: float, at: int) -> tuple:
-        return key[0], stage, amount, pd.Timestamp(at, unit="us", tz="UTC")
+    def _load(self) -> pd.DataFrame:
+        flat = np.frombuffer(self.leads.get()[0], dtype=np.int64) if self.leads.exists() else np.zeros(0, dtype=np.int64)
+        return pd.DataFrame(flat.reshape(-1, len(_KEYS) + len(_MOMENTS)), columns=[*_KEYS, *_MOMENTS]).set_index(_KEYS)
+
+    def _save(self, leads: pd.DataFrame) -> None:
+        if len(leads):
+            self.leads.update((leads.reset_index()[[*_KEYS, *_MOMENTS]].to_numpy(dtype=np.int64).tobytes(),))
+        else:
+            self.leads.clear()
+
+    def _first_due(self, leads: pd.DataFrame) -> int:
+        due = leads["due"][leads["due"] != _NONE]
+        return int(due.min()) if len(due) else _LAST
 
     def _timer(self, at: int) -> None:
-        self.handle.registerTimer(-(-at // 1000))
+        if at != _LAST:
+            self.handle.registerTimer(-(-at // 1000))
+
+    def _rows(self, leads: pd.DataFrame, stage: str, value: object, at: pd.Series) -> pd.DataFrame:
+        ids = leads.reset_index()
+        return pd.DataFrame({"lead_id": ids["lead_id"].astype("Int64").mask(ids["no_id"] == 1), "stage": stage,
+                             "value": np.broadcast_to(np.asarray(value, dtype=float), len(ids)), "at": pd.to_datetime(at.to_numpy(), unit="us", utc=True)})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        known = self.lead.get() if self.lead.exists() else (None, None, False)
-        created, won, matured = known
-        wins, out = [], []
-        for pdf in rows:
-            moments = pd.to_datetime(pdf["changed_at"], utc=True)
-            for stage, deal, at in zip(pdf["stage"], pdf["deal_value"], moments):
-                at = at.value // 1000
-                if stage == "New":
-                    created = at if created is None else min(created, at)
-                elif stage == "Won":
-                    wins.append((at, None if pd.isna(deal) else float(deal)))
-        if wins and won is None:
-            won, value = min(wins, key=lambda w: w[0])
-            if created is not None and won > created + self.horizon and not matured:
-                out.append(self._row(key, "matured", 0.0, created + self.horizon))
-                matured = True
-            out.append(self._row(key, "won", value, won))
-            self._timer(won + self.keep)
-        elif created is not None and known[0] is None and won is None:
-            self._timer(created + self.horizon)
-        self.lead.update((created, won, matured))
-        yield pd.DataFrame(out, columns=["lead_id", "stage", "value", "at"])
+        new, old = pd.concat(list(rows)), self._load()
+        index = pd.MultiIndex.from_frame(new[_KEYS].drop_duplicates())
+        known = old.reindex(index, fill_value=_NONE)
+        seen = new[new["stage"] == "New"].groupby(_KEYS)["at"].min().reindex(index, fill_value=_LAST)
+        wins = new[new["stage"] == "Won"].sort_values("at", kind="stable").drop_duplicates(_KEYS).set_index(_KEYS)
+        win, value = wins["at"].reindex(index, fill_value=_NONE), wins["deal_value"].reindex(index)
+
+        created = seen.where(known["created"] == _NONE, np.minimum(known["created"], seen)).replace(_LAST, _NONE)
+        matures = created.where(created == _NONE, created + self.horizon)
+        wins_now = (win != _NONE) & (known["won"] == _NONE)
+        late = wins_now & (created != _NONE) & (win > matures) & (known["matured"] != 1)
+        begins = ~wins_now & (created != _NONE) & (known["created"] == _NONE) & (known["won"] == _NONE)
+        now = pd.DataFrame({
+            "created": created, "won": win.where(wins_now, known["won"]), "matured": ((known["matured"] == 1) | late).astype("int64"),
+            "due": (win + self.keep).where(wins_now, matures.where(begins, known["due"]))})
+        leads = pd.concat([old[~old.index.isin(index)], now])
+        self._save(leads)
+        first = self._first_due(leads)
+        if first < self._first_due(old):
+            self._timer(first)
+        yield pd.concat([self._rows(now[late], "matured", 0.0, matures[late]), self._rows(now[wins_now], "won", value[wins_now], win[wins_now])])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.lead.exists():
-            created, won, matured = self.lead.get()
-            ends = won + self.keep if won is not None else (created + self.horizon + self.keep if matured else None)
-            if won is None and not matured:
-                out.append(self._row(key, "matured", 0.0, created + self.horizon))
-                self.lead.update((created, won, True))
-                self._timer(created + self.horizon + self.keep)
-            elif ends is not None and expiredTimerInfo.getExpiryTimeInMs() >= ends // 1000:
-                self.lead.clear()
-        yield pd.DataFrame(out, columns=["lead_id", "stage", "value", "at"])
+        leads = self._load()
+        reached = 1000 * max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        due = (leads["due"] != _NONE) & (leads["due"] <= reached)
+        mature = due & (leads["won"] == _NONE) & (leads["matured"] != 1)
+        matures = leads["created"][mature] + self.horizon
+        yield self._rows(leads[mature], "matured", 0.0, matures)
+        leads.loc[mature, "matured"] = 1
+        leads.loc[mature, "due"] = matures + self.keep
+        left = leads[~due | (mature & (leads["due"] > reached))]
+        self._save(left)
+        self._timer(self._first_due(left))
 
     def close(self) -> None:
         pass
